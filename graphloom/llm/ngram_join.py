@@ -299,8 +299,18 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
     side = lambda x: brief.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("na", "nb", "sa", "sb")).select("a", "b")
     pairs = written(pairs, "pairs")
-    links = written(_verified(pairs, documents, groups), "links")
+    # First each group against its busiest centre alone; then only pairs that are still in two components.
+    degree = pairs.groupBy("a").agg(F.count("*").alias("d"))
+    first = pairs.join(degree, "a").groupBy("b").agg(F.max_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
+    first = written(first, "first")
+    links = written(_verified(first, documents, groups), "links")
     label = components(links)
+    side = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = written(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+    if rest.limit(1).count():
+        links = written(links.union(_verified(rest, documents, groups)), "links")
+        label = components(links)
 
     # Completion: shingles whose groups are not yet in one component.
     held = runs.where("kind = 1").select("token", F.explode("members").alias("rep")).distinct()
