@@ -46,7 +46,8 @@ STEP_TOKENS = 1 << 21
 BUCKET_ENTRIES = 400_000
 #: Ids up to this many (8 MB) are broadcast to pick documents; more go through a shuffled join.
 BROADCAST_IDS = 1_000_000
-_SIG_BITS = 1024
+#: A bitmap has as many bits as the set has shingles, rounded up to a power of two, and at least these.
+_LEAST_BITS = 1024
 _U = np.uint64
 
 
@@ -128,7 +129,8 @@ def shingle_profiles(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if len(known) < 1_000_000:  # only saves work: a group sent twice meets again below
                     known.add(key)
                 head.append(_planes(_prefix(s, sorted_frequent, rank) >> _U(16), 6))
-                parity = np.bincount((s & _U(_SIG_BITS - 1)).astype(np.int64), minlength=_SIG_BITS) & 1
+                bits = max(_LEAST_BITS, 1 << (len(s) - 1).bit_length())
+                parity = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
                 sig.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(np.array(f1, _U).view(np.int64)), pa.array(np.array(f2, _U).view(np.int64)), pa.array(head, pa.binary()), pa.array(sig, pa.list_(pa.int64()))],
@@ -230,7 +232,12 @@ def _runs(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 def _may_link(na: str, nb: str, sa: str, sb: str) -> F.Column:
     """Sizes within 3/4 of each other, and the bitmap bound (na + nb - differing bits) / 2 at least 3/7 (na + nb)."""
-    differ = F.expr(f"aggregate(zip_with({sa}, {sb}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    half = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (x, y) -> x ^ y)"
+    # sizes within 3/4 have bitmaps of equal lengths, or one twice as long, which is folded
+    differ = F.expr(
+        f"aggregate(zip_with(CASE WHEN size({sa}) > size({sb}) THEN {half(sa)} ELSE {sa} END,"
+        f" CASE WHEN size({sb}) > size({sa}) THEN {half(sb)} ELSE {sb} END, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    )
     return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * (F.col(na) + F.col(nb) - differ) >= 6 * (F.col(na) + F.col(nb)))
 
 
