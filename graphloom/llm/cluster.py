@@ -44,7 +44,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``written``; only once everything made from it is itself written."""
+    removed(df.sparkSession, df._written_at)
 
 
 def removed(spark: SparkSession, path: str) -> None:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import textcore as tc
-from graphloom.llm.cluster import prepare, written
+from graphloom.llm.cluster import discard, prepare, written
 from graphloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -292,12 +292,16 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
     prepare(spark)
     documents = documents.select("doc_id", "text")
     frequent = frequent_shingles(documents)
-    profiles = written(shingle_profiles(documents, frequent), "profiles")
-    own = profiles.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("head", True).alias("head"), F.first("sig", True).alias("sig")).where("rep IS NOT NULL")
-    groups = written(own, "groups")
-    entries = groups.agg(F.sum(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1)).first()[0] or 0
+    packed = written(shingle_profiles(documents, frequent), "profiles")
+    own = packed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("head", True).alias("head"), F.first("sig", True).alias("sig")).where("rep IS NOT NULL")
+    heads = written(own, "heads")
+    profiles = written(packed.select("doc_id", "n", "f1", "f2"), "profiles")
+    discard(packed)
+    entries = heads.agg(F.sum(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1)).first()[0] or 0
     buckets = max(1, -(-entries // BUCKET_ENTRIES), spark.sparkContext.defaultParallelism)
-    runs = written(_runs(_dealt(groups, buckets, frequent), frequent), "runs")
+    runs = written(_runs(_dealt(heads, buckets, frequent), frequent), "runs")
+    groups = written(heads.drop("head"), "groups")
+    discard(heads)
 
     centres = runs.where("kind = 2").select("token", "a")
     top = centres.groupBy("token").agg(F.min("a").alias("c"))
@@ -319,23 +323,24 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
         links = written(links.union(_verified(rest, documents, groups)), "links")
         label = components(links)
 
-    # Completion: shingles whose groups are not yet in one component.
-    held = runs.where("kind = 1").select("token", F.explode("members").alias("rep")).distinct()
-    held = held.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("label"))
-    by_label = held.groupBy("token", "label").count()
-    live = by_label.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", "main")
-    held = held.join(live, "token").join(brief, "rep")
-    held = written(held, "open")
-    x = held.where("label <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("rep", "label", "n", "sig")))
-    y = held.select("token", *(F.col(c).alias(f"y_{c}") for c in ("rep", "label", "n", "sig")))
-    across = x.join(y, "token").where("x_label <> y_label").where(_may_link("x_n", "y_n", "x_sig", "y_sig"))
-    more = across.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    # Completion: shingles whose groups are not yet in one component.  A group that is outside the main component
+    # of its shingle meets a 64th of the others first, then an eighth, then all: most are linked by then.
+    runs_of = runs.where("kind = 1").select("token", F.explode("members").alias("rep")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        new = written(_verified(more, documents, groups), "links")
-        if new.limit(1).count():
-            label = components(links.union(new))
+    for share in (1, 8, 64):
+        held = runs_of.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("label"))
+        by_label = held.groupBy("token", "label").count()
+        live = by_label.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("token", "main")
+        held = written(held.join(live, "token").join(brief, "rep"), "open")
+        x = held.where("label <> main").select("token", *(F.col(c).alias(f"x_{c}") for c in ("rep", "label", "n", "sig")))
+        y = held.where(F.pmod(F.xxhash64("rep"), F.lit(64)) < share).select("token", *(F.col(c).alias(f"y_{c}") for c in ("rep", "label", "n", "sig")))
+        across = x.join(y, "token").where("x_label <> y_label").where(_may_link("x_n", "y_n", "x_sig", "y_sig"))
+        more = across.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+        more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
+        if more.limit(1).count():
+            tried = tried.union(more)
+            links = written(links.union(_verified(more, documents, groups)), "links")
+            label = components(links)
 
     named = groups.select("n", "f1", "f2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.col("rep").alias("group_id"), F.coalesce("component", "rep").alias("component_id"))
     result = profiles.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
