@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.llm.decontaminate import op7_decontaminate
 from graphloom.llm.mixing import OP3_SQL, op3_mix_sources
 from graphloom.llm.ngram_join import op1_ngram_join
 from graphloom.llm.quality import op10_quality_rules
@@ -9,6 +10,7 @@ from graphloom.llm.quality import op10_quality_rules
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op3_mix_sources": op3_mix_sources,
+    "op7_decontaminate": op7_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE = {"op3_mix_sources": OP3_SQL}
