@@ -6,11 +6,15 @@ from graphloom.llm.decontaminate import op7_decontaminate
 from graphloom.llm.mixing import OP3_SQL, op3_mix_sources
 from graphloom.llm.ngram_join import op1_ngram_join
 from graphloom.llm.quality import op10_quality_rules
+from graphloom.llm.token_counts import op2_token_counts
+from graphloom.llm.token_files import op9_token_files
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_token_counts": op2_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op7_decontaminate": op7_decontaminate,
+    "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE = {"op3_mix_sources": OP3_SQL}

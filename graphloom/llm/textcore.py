@@ -117,10 +117,11 @@ class Words:
         return np.diff(self.bounds)
 
 
-def words(chunk: Chunk) -> Words:
+def words(chunk: Chunk, separators: np.ndarray = _SPACE) -> Words:
+    """Maximal runs of bytes that ``separators`` (a flag for each byte) does not mark."""
     n = len(chunk.data)
     solid = np.zeros(n + 2, bool)
-    np.logical_not(_SPACE[chunk.data], out=solid[1:-1])
+    np.logical_not(separators[chunk.data], out=solid[1:-1])
     inner = chunk.offsets[(chunk.offsets > 0) & (chunk.offsets < n)]
     first = solid[1:-1] & ~solid[:-2]
     last = solid[1:-1] & ~solid[2:]
