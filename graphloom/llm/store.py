@@ -17,14 +17,14 @@ def put(uri: str, data: bytes) -> None:
     where, path = _at(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
-    with where.open_output_stream(own) as f:
+    with where.open_output_stream(own, compression=None) as f:
         f.write(data)
     where.move(own, path)
 
 
 def get(uri: str) -> bytes:
     where, path = _at(uri)
-    with where.open_input_stream(path) as f:
+    with where.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
