@@ -1,7 +1,8 @@
-"""The registered queries and their SQL twins."""
+"""All registered queries and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from graphloom.plans import graph_queries, text_queries  # noqa: F401
+from graphloom.plans.registry import ORACLE, QUERIES  # noqa: F401
+
 FLAGSHIP = "hybrid_search"
