@@ -2,60 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from graphloom.llm.textcore import ARROW_ROWS
+from graphloom.sources.shared import discard, removed, scratch, shared_dir, written  # noqa: F401
 
 
 def prepare(spark: SparkSession) -> None:
     """Smaller Arrow batches, so that a batch of long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Only where that is unset and the
-    session is local (tests) is a temporary folder made, and removed at exit."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = getattr(spark.sparkContext, "_graphloom_shared", None)
-    if made is None or not os.path.isdir(made):
-        made = tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.sparkContext._graphloom_shared = made
-    return f"file://{made}"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``written``; only once everything made from it is itself written."""
-    removed(df.sparkSession, df._written_at)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a path in the shared folder through Hadoop, whichever store it is in."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
