@@ -188,7 +188,7 @@ def _runs(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
     """kind 0: pair (a, b) of a centre and another group; kind 1: ``members`` of a shingle held by three or more
     groups; kind 2: the centre ``a`` of a frequent shingle in this bucket."""
     shared = dealt.sparkSession.sparkContext.broadcast(np.unique(frequent >> _U(16)))
-    out = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("members", pa.list_(pa.int64()))])
+    out = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("members", pa.list_(pa.int64())), ("code", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         salted = shared.value
@@ -212,6 +212,8 @@ def _runs(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
         many = np.flatnonzero((length > 2) & ~hot)
         many = many[np.unique(code[many], return_index=True)[1]]
         many = np.concatenate([many, np.flatnonzero(hot)])
+        # equal codes: the same groups under another shingle; parts of a frequent shingle's run stay apart
+        code[hot] = tc.mix(t[start[hot]] + _U(table.column("bucket")[0].as_py()))
         heads = start[hot]
         members = [r[start[i] : start[i] + length[i]] for i in many]
         k, m, h = len(pairs), len(many), len(heads)
@@ -223,11 +225,12 @@ def _runs(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
                 pa.array([*pairs[:, 1].tolist(), *none * (m + h)], pa.int64()),
                 pa.array([*none * k, *t[start[many]].view(np.int64).tolist(), *t[heads].view(np.int64).tolist()], pa.int64()),
                 pa.array([*none * k, *members, *none * h], pa.list_(pa.int64())),
+                pa.array([*none * k, *code[many].view(np.int64).tolist(), *none * h], pa.int64()),
             ],
             schema=out,
         )
 
-    return dealt.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, token long, members array<long>")
+    return dealt.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, token long, members array<long>, code long")
 
 
 def _may_link(na: str, nb: str, sa: str, sb: str) -> F.Column:
@@ -325,7 +328,7 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
 
     # Completion: shingles whose groups are not yet in one component.  A group that is outside the main component
     # of its shingle meets a 64th of the others first, then an eighth, then all: most are linked by then.
-    runs_of = runs.where("kind = 1").select("token", F.explode("members").alias("rep")).distinct()
+    runs_of = runs.where("kind = 1").dropDuplicates(["code"]).select("token", F.explode("members").alias("rep")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for share in (1, 8, 64):
         held = runs_of.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("label"))
@@ -337,6 +340,7 @@ def ngram_jaccard_join(documents: DataFrame) -> DataFrame:
         across = x.join(y, "token").where("x_label <> y_label").where(_may_link("x_n", "y_n", "x_sig", "y_sig"))
         more = across.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
         more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
+        discard(held)
         if more.limit(1).count():
             tried = tried.union(more)
             links = written(links.union(_verified(more, documents, groups)), "links")
