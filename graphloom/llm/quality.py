@@ -19,7 +19,7 @@ from graphloom.llm import textcore as tc
 from graphloom.llm.cluster import prepare
 
 #: Labelled rows that the classifier is fitted on, at most; chosen by the hash of doc_id.
-MAX_LABELLED = 1500
+MAX_LABELLED = 1000
 #: Documents whose calibrated probability of good quality is below this are rejected.
 MIN_PROBABILITY = 0.25
 _BITS = 12
@@ -155,23 +155,24 @@ def fit_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX
     prepare(documents.sparkSession)
     rows = joined.select("label", "text").mapInArrow(_features, "label int, slots binary, values binary").collect()
     rows.sort(key=lambda r: (bytes(r.slots), bytes(r["values"]), r.label))  # not as executors return them
-    y = np.array([r.label for r in rows], np.float32)
+    order = np.random.default_rng(7).permutation(len(rows))
+    cut = len(rows) * 3 // 4  # the first rows fit the weights, the rest the calibration
+    y = np.array([rows[i].label for i in order], np.float32)
     empty = QualityModel(np.zeros((families, 1 << _BITS), np.float32), 0.0, 0.0, 30.0)
-    if len(set(y.tolist())) < 2:
+    if len(set(y[:cut].tolist())) < 2:
         return empty
     x = np.zeros((len(rows), families << _BITS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r.slots, np.int32)] = np.frombuffer(r["values"], np.float32)
+    for k, i in enumerate(order):
+        x[k, np.frombuffer(rows[i].slots, np.int32)] = np.frombuffer(rows[i]["values"], np.float32)
+    del rows
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
     x *= scale
-    order = np.random.default_rng(7).permutation(len(rows))
-    fit, hold = order[np.arange(len(order)) % 4 != 0], order[np.arange(len(order)) % 4 == 0]
-    w, b = _descend(x[fit], y[fit], 150, 1e-5)
+    w, b = _descend(x[:cut], y[:cut], 150, 1e-5)
     slope, shift = 1.0, 0.0
-    if len(set(y[hold].tolist())) == 2:
-        margin = (x[hold] @ w + b).reshape(-1, 1).astype(np.float32)
+    if len(set(y[cut:].tolist())) == 2:
+        margin = (x[cut:] @ w + b).reshape(-1, 1).astype(np.float32)
         spread = float(margin.std()) or 1.0
-        (s,), shift = _descend(margin / spread, y[hold], 200, 1e-3)
+        (s,), shift = _descend(margin / spread, y[cut:], 200, 1e-3)
         slope, shift = float(s) / spread, float(shift)
     return QualityModel((w * scale).reshape(families, -1).astype(np.float32), b, slope, shift)
 
