@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated as extreme values.
 
-1. Counts of every token (once a text) over all labelled training rows give log-odds of toxic against clean text with an informative
+1. Counts of every token (once a text) over the labelled training rows (at most ``MAX_TRAINING``) give log-odds of toxic against clean text with an informative
    Dirichlet prior (Monroe et al., "Fightin' Words"); tokens whose odds are significant have the near end of their confidence
    interval as their score.
 2. A text is the sequence of its tokens' scores less a drift.  Ruzzo and Tompa's linear scan finds all its maximal
@@ -36,6 +36,8 @@ LEAST_Z = 3.0
 DRIFT = 0.25
 HIGHEST = 6.0
 MOST_EVIDENCE = 30.0
+#: Labelled rows that are learnt from, at most (chosen by the hash of doc_id): small enough to broadcast to the texts.
+MAX_TRAINING = 500_000
 #: Training rows that the calibration curve is fitted on, at most.
 MAX_CALIBRATION = 20_000
 _COUNTED_AT_ONCE = 1 << 21
@@ -159,7 +161,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     spark = documents.sparkSession
     prepare(spark)
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(training()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    rows = documents.select("doc_id", "text").join(known, "doc_id")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING)
+    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     counts = rows.select("toxic", "text").mapInArrow(_counts, "token long, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     totals = counts.agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     prior, mass = PRIOR * (F.col("clean") + F.col("toxic")), PRIOR * (F.col("c") + F.col("t"))
