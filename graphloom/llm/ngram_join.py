@@ -41,7 +41,7 @@ from graphloom.operators.components import components
 SHINGLE_WORDS = 5
 FREQUENT = 1 << 16
 LOCAL_FREQUENT = 4096
-STEP_TOKENS = 1 << 21
+STEP_TOKENS = 1 << 20
 #: Prefix entries that a bucket gets on average.
 BUCKET_ENTRIES = 400_000
 #: Ids up to this many (8 MB) are broadcast to pick documents; more go through a shuffled join.

@@ -30,7 +30,7 @@ _powers: list[np.ndarray] = []
 
 #: Rows given to Python at once; with the chunking below it bounds a worker's memory.
 ARROW_ROWS = 1024
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ MOST_EVIDENCE = 30.0
 MAX_TRAINING = 500_000
 #: Training rows that the calibration curve is fitted on, at most.
 MAX_CALIBRATION = 20_000
-_COUNTED_AT_ONCE = 1 << 21
+_COUNTED_AT_ONCE = 1 << 20
 _U = np.uint64
 #: Tokens are runs of letters, digits and bytes of other alphabets.
 _BREAKS = np.ones(256, bool)
