@@ -10,6 +10,7 @@ different words collide with probability about 2**-64 per pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,6 +86,10 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
+#: glibc's call that gives freed memory back to the system; workers live on between stages.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Whole texts in chunks of about ``limit`` bytes; a longer text is a chunk of its own; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -101,6 +106,8 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         hi = min(hi, len(texts))
         yield Chunk(lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
+    if _TRIM:
+        _TRIM(0)
 
 
 @dataclass
