@@ -186,7 +186,7 @@ def _dealt(groups: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
 
 def _runs(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
     """kind 0: pair (a, b) of a centre and another group; kind 1: ``members`` of a shingle held by three or more
-    groups; kind 2: the centre ``a`` of a frequent shingle in this bucket."""
+    groups, named by ``token``; kind 2: the centre ``a`` of a frequent shingle in this bucket."""
     shared = dealt.sparkSession.sparkContext.broadcast(np.unique(frequent >> _U(16)))
     out = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("members", pa.list_(pa.int64())), ("code", pa.int64())])
 
@@ -213,7 +213,10 @@ def _runs(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
         many = many[np.unique(code[many], return_index=True)[1]]
         many = np.concatenate([many, np.flatnonzero(hot)])
         # equal codes: the same groups under another shingle; parts of a frequent shingle's run stay apart
-        code[hot] = tc.mix(t[start[hot]] + _U(table.column("bucket")[0].as_py()))
+        code[hot] = tc.mix(tc.mix(t[start[hot]]) + _U(table.column("bucket")[0].as_py()))
+        # a run goes by its code, so that rows of equal codes are alike whichever is kept; parts of a frequent
+        # shingle's run go by the shingle, where they meet again
+        name = np.where(hot, t[start], code)
         heads = start[hot]
         members = [r[start[i] : start[i] + length[i]] for i in many]
         k, m, h = len(pairs), len(many), len(heads)
@@ -223,7 +226,7 @@ def _runs(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
                 pa.array(np.repeat([0, 1, 2], [k, m, h]).astype(np.int32)),
                 pa.array([*pairs[:, 0].tolist(), *none * m, *r[heads].tolist()], pa.int64()),
                 pa.array([*pairs[:, 1].tolist(), *none * (m + h)], pa.int64()),
-                pa.array([*none * k, *t[start[many]].view(np.int64).tolist(), *t[heads].view(np.int64).tolist()], pa.int64()),
+                pa.array([*none * k, *name[many].view(np.int64).tolist(), *t[heads].view(np.int64).tolist()], pa.int64()),
                 pa.array([*none * k, *members, *none * h], pa.list_(pa.int64())),
                 pa.array([*none * k, *code[many].view(np.int64).tolist(), *none * h], pa.int64()),
             ],

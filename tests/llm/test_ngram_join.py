@@ -1,7 +1,10 @@
 import random
 import re
 
-from graphloom.llm.ngram_join import ngram_jaccard_join
+import numpy as np
+
+from graphloom.llm import textcore as tc
+from graphloom.llm.ngram_join import _dealt, _planes, _runs, ngram_jaccard_join
 
 SCHEMA = "doc_id long, text string"
 
@@ -67,3 +70,18 @@ def test_very_long_text(spark):
     text = "ab cd " * 300_000
     got = ngram_jaccard_join(spark.createDataFrame([(1, text), (2, text + "x")], SCHEMA)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 2, 1), (2, 3, 2)]
+
+
+def test_runs_of_equal_codes_are_alike(spark):
+    # whichever of them is kept, and however often the plan is computed, the name and the members are the same
+    shared = np.sort(tc.mix(np.arange(1, 41, dtype=np.uint64))) >> np.uint64(16)
+    frequent = shared[:1] << np.uint64(16)
+    heads = spark.createDataFrame([(rep, 160, _planes(shared, 6)) for rep in range(6)], "rep long, n int, head binary").repartition(3)
+    rows = _runs(_dealt(heads, 8, frequent), frequent).where("kind = 1").collect()
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.code, set()).add((r.token, frozenset(r.members)))
+    assert all(len(x) == 1 for x in seen.values())
+    hot = [r for r in rows if r.token == int(shared[0])]
+    assert {m for r in hot for m in r.members} == set(range(6))
+    assert len({r.token for r in rows}) == 2 and len(rows) > len(hot)
