@@ -43,7 +43,7 @@ FREQUENT = 1 << 16
 LOCAL_FREQUENT = 4096
 STEP_TOKENS = 1 << 20
 #: Prefix entries that a bucket gets on average.
-BUCKET_ENTRIES = 400_000
+BUCKET_ENTRIES = 200_000
 #: Ids up to this many (8 MB) are broadcast to pick documents; more go through a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: A bitmap has as many bits as the set has shingles, rounded up to a power of two, and at least these.
@@ -68,6 +68,7 @@ def _frequent_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if n >= STEP_TOKENS:
                 yield flush()
                 held, n = [], 0
+                tc.give_back()
     if n:
         yield flush()
 
@@ -178,6 +179,7 @@ def _dealt(groups: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
                 if n >= STEP_TOKENS:
                     yield flush()
                     tokens, reps, sizes, n = [], [], [], 0
+                    tc.give_back()
         if n:
             yield flush()
 
@@ -191,6 +193,7 @@ def _runs(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
     out = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64()), ("members", pa.list_(pa.int64())), ("code", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
+        tc.give_back()  # what the bucket before has left
         salted = shared.value
         t = np.concatenate([_unplaned(x.as_py(), 6) for x in table.column("tokens")])
         r = np.concatenate([_unplaned(x.as_py(), 8) for x in table.column("reps")]).view(np.int64)

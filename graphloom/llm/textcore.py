@@ -86,10 +86,19 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
-#: glibc's call that gives freed memory back to the system; workers live on between stages.
+#: glibc's call that gives freed memory back to the system.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def give_back() -> None:
+    """Give freed memory back to the system, with tables that only a long text needed: workers live on between stages."""
+    if _powers and len(_powers[0]) > CHUNK_BYTES + 16:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Whole texts in chunks of about ``limit`` bytes; a longer text is a chunk of its own; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -106,8 +115,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         hi = min(hi, len(texts))
         yield Chunk(lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
-    if _TRIM:
-        _TRIM(0)
+    give_back()
 
 
 @dataclass

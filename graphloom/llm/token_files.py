@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import store
 from graphloom.llm.cluster import prepare, scratch, written
+from graphloom.llm.textcore import give_back
 from graphloom.llm.tokens import encoder, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-SHARD_IDS = 1 << 22
+#: Ids of a file, about; a writer holds 4 bytes for each.
+SHARD_IDS = 1 << 21
 _MAGIC = b"GLDAC\x00\x01\x00"
 _BLOCK = 512  # bits between two entries of a rank directory
 
@@ -50,11 +52,14 @@ def encoded(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, shar
         blocks = np.add.reduceat(more, np.arange(0, len(more), _BLOCK), dtype=np.uint32) if len(more) else np.zeros(0, np.uint32)
         ranks = np.concatenate([[0], np.cumsum(blocks)])[: max(1, len(blocks))]
         body += [struct.pack("<q", len(rest)), (rest & np.uint32(0xFF)).astype(np.uint8).tobytes(), bits.tobytes(), ranks.astype("<u4").tobytes()]
-        rest = rest[more] >> np.uint32(8)
+        rest = rest[more]
+        rest >>= np.uint32(8)
         levels += 1
-    joined = b"".join(body)
-    out = _MAGIC + struct.pack("<6q", len(ids), len(doc_ids), levels, shard, 0, len(joined)) + joined
-    return out + struct.pack("<I", zlib.crc32(out))
+    body.insert(0, _MAGIC + struct.pack("<6q", len(ids), len(doc_ids), levels, shard, 0, sum(map(len, body))))
+    crc = 0
+    for part in body:
+        crc = zlib.crc32(part, crc)
+    return b"".join([*body, struct.pack("<I", crc)])
 
 
 class TokenFile:
@@ -119,10 +124,10 @@ class TokenFile:
         return out
 
 
-def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int = END_ID) -> DataFrame:
+def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode, and write files in ascending order of doc_id; returns the table of shards with their first positions.
 
-    The texts are range-partitioned by doc_id once; a task writes its range in files of about SHARD_IDS ids.
+    The texts are range-partitioned by doc_id once; a task writes its range in files of about ``shard_ids`` ids.
     """
     spark = documents.sparkSession
     prepare(spark)
@@ -136,7 +141,11 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
 
         def flush() -> pa.RecordBatch:
             name = f"{folder}/tokens-{task:06d}-{shard:06d}.dac"
-            store.put(name, encoded(np.concatenate(held), ids, np.array(starts), shard))
+            together = np.concatenate(held)
+            held.clear()
+            store.put(name, encoded(together, ids, np.array(starts), shard))
+            del together
+            give_back()
             return pa.RecordBatch.from_pydict({"task": [task], "shard": [shard], "file": [name], "n_docs": [len(ids)], "n_ids": [starts[-1]]})
 
         for batch in batches:
@@ -146,7 +155,7 @@ def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int
                 held.append(end)
                 ids.append(i)
                 starts.append(starts[-1] + 1 + (len(held[-2]) if text else 0))
-                if starts[-1] >= SHARD_IDS:
+                if starts[-1] >= shard_ids:
                     yield flush()
                     held, ids, starts, shard = [], [], [0], shard + 1
         if ids:

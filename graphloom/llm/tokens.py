@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from graphloom.llm.textcore import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Characters whose classes, case and composition are settled (Latin, general punctuation, currency),
@@ -24,7 +26,7 @@ _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-
 BYTE_PATTERN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 WORD_PATTERN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 #: Pre-tokens that a worker keeps; longer ones than LONGEST characters are not kept.
-CACHE_SIZE = 250_000
+CACHE_SIZE = 100_000
 LONGEST = 64
 
 
@@ -56,6 +58,8 @@ class Encoder:
         self.lower = spec["normalizer"] is not None
         self.letters = dict(enumerate(_byte_letters()))
         self.cache = _Cache(self)
+        del spec
+        give_back()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
