@@ -1,15 +1,19 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: CGK embedding of the segments of items, hashed look-up, exact edit verification.
 
 A document leaks an item when some window of it is within ``tau`` times the item's words of edit distance from the
-item, words compared A-Z lower-cased.  The steps, over whole texts:
+item, words compared A-Z lower-cased.  No step but the last drops a leak (64-bit hashes taken as the words):
 
 1. *Lossless narrowing.*  A window that close shares many of the item's 3-word sequences (each edit spoils at most
    three), so only stretches of a text dense in 3-word sequences of the benchmark are looked at further.
-2. *CGK embedding.*  A window is walked by word: a random bit per (step, word) says whether the walk moves on, and the
-   word read at each step is the embedding, so that edit distance becomes Hamming distance.  Steps are sampled.
-3. *LSH.*  A window and an item are a candidate when all sampled coordinates of one of ``REPEATS`` repetitions agree.
-   Windows start at every word and repetitions are independent; see ``recall`` in the tests.
-4. *Verification.*  The exact edit distance of the item to the best substring around each candidate window.
+2. *CGK embedding.*  ``e`` edits leave at least ``(n - e) / (e + 1)`` words of an item of ``n`` in one piece, wherever
+   they fall.  So every segment of that many words, of items and of texts alike, is embedded: walked by word for three
+   steps a word, a random bit per (step, word) says whether the walk moves on, and what is read at each step is the
+   embedding.
+3. *Look-up.*  A segment of the text and one of an item with equal embeddings align the two.  The piece that the edits
+   left is such a pair.  All steps are hashed: at ``TAU`` segments have three or four words, and a sample of their steps
+   would tell less apart without finding more.
+4. *Verification.*  Where the text around an alignment holds enough of the item's own 3-word sequences, the exact edit
+   distance of the item to the best substring there.
 
 The benchmark is the small side: it is packed on the driver and broadcast, ``MAX_ITEMS_BYTES`` at a time; a larger
 benchmark takes several passes over the documents.
@@ -34,8 +38,8 @@ from graphloom.llm.cluster import prepare
 #: Edits allowed, as a share of the item's words.
 TAU = 0.2
 SHORT_WORDS = 10
-REPEATS = 24
-SAMPLED = 4
+#: Pairs of segments that are expanded at once.
+PAIRS = 1 << 18
 MAX_ITEMS_BYTES = 16 << 20
 _U = np.uint64
 
@@ -57,63 +61,65 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
-def _walk(words: np.ndarray, starts: np.ndarray, seeds: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-    """CGK codes, (repetition, start): a hash of the words that the walks read at their sampled steps.
-
-    ``sampled`` marks the steps of each repetition.  All walks go on together; one past the text's end reads a pad.
-    """
-    padded = np.append(words, _U(0))
-    at = np.repeat(starts[None, :].astype(np.int64), len(seeds), axis=0)
-    code = np.repeat(seeds[:, None], len(starts), axis=1)
-    for step in range(sampled.shape[1]):
-        w = padded[np.minimum(at, len(words))]
-        rows = np.flatnonzero(sampled[:, step])
-        if len(rows):
-            code[rows] = tc.mix(code[rows] * _U(0x9E3779B97F4A7C15) + w[rows] + _U(step))
-        at += (tc.mix(w + (seeds * _U(0x10001) + _U(1 + step * 0x1000193))[:, None]) >> _U(63)).astype(np.int64)
+def _walk(words: np.ndarray, starts: np.ndarray, length: int, seed: np.uint64) -> np.ndarray:
+    """CGK codes of the ``length`` words from each start: a hash of what the walk reads at its steps, a pad past the segment."""
+    moved = np.zeros(len(starts), np.int64)
+    code = np.full(len(starts), seed)
+    salt = code * _U(0x10001)
+    moved = np.zeros(len(starts), np.int64)
+    for step in range(3 * length):
+        w = np.where(moved < length, words[starts + np.minimum(moved, length - 1)], _U(0))
+        code = tc.mix(code * _U(0x9E3779B97F4A7C15) + w + _U(step))
+        moved += (tc.mix(w + salt + _U(1 + step * 0x1000193)) >> _U(63)).astype(np.int64)
     return code
 
 
+def _runs(at: np.ndarray, gap: int) -> Iterator[tuple[int, int]]:
+    """First and last of each run of sorted places that are at most ``gap`` apart."""
+    cut = np.flatnonzero(np.diff(at) > gap) + 1
+    for part in np.split(at, cut):
+        yield int(part[0]), int(part[-1])
+
+
 class Benchmark:
-    """Items packed for search: word hashes, 3-word sequences, and the LSH codes of each item length."""
+    """Items packed for search: word hashes, 3-word sequences, and the CGK codes of the segments of each class of lengths."""
 
-    def __init__(self, items: list[tuple[int, str]], tau: float = TAU, repeats: int = REPEATS, sampled: int = SAMPLED):
-        self.tau, self.repeats = tau, repeats
+    def __init__(self, items: list[tuple[int, str]], tau: float = TAU):
+        self.tau = tau
         self.items = [(i, w) for i, t in items if t and len(w := _text_words(t))]
         self.short: dict[int, dict[int, list[int]]] = {}
         self.by_length: dict[int, list[int]] = {}
-        grams = []
+        self.own: dict[int, np.ndarray] = {}
         for k, (_, w) in enumerate(self.items):
             if len(w) < SHORT_WORDS:
                 self.short.setdefault(len(w), {}).setdefault(self._whole(w), []).append(k)
             else:
                 self.by_length.setdefault(len(w), []).append(k)
-                grams.append(tc.windows(w, np.zeros(len(w), np.int8), 3)[0])
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, _U)
+                self.own[k] = np.unique(tc.windows(w, np.zeros(len(w), np.int8), 3)[0])
+        self.grams = np.unique(np.concatenate(list(self.own.values()))) if self.own else np.zeros(0, _U)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.grams >> _U(44)).astype(np.int64)] = True
-        # Items of similar lengths share their windows' walks, of as many steps as the shortest has words.
+        # Items of similar lengths share their stretches and the length of their segments.
         rng = np.random.default_rng(11)
         self.classes: list[dict] = []
         for n in sorted(self.by_length):
-            if not self.classes or n > 1.25 * self.classes[-1]["least"]:
-                self.classes.append({"least": n, "items": []})
+            if not self.classes or n > 1.25 * self.classes[-1]["lengths"][0]:
+                self.classes.append({"lengths": [], "items": []})
             self.classes[-1]["items"] += self.by_length[n]
-            self.classes[-1]["most"] = n
+            self.classes[-1]["lengths"].append(n)
         for c in self.classes:
-            n = c["least"]
-            marks = np.zeros((repeats, n), bool)
-            for r in range(repeats):  # a third of the repetitions sample the early steps alone, which few edits reach
-                marks[r, rng.choice(max(sampled, (n // 3, n // 2, n)[r % 3]), sampled, replace=False)] = True
-            c["sampled"] = marks[:, : int(np.flatnonzero(marks.any(axis=0))[-1]) + 1]
-            c["seeds"] = rng.integers(1, 2**63, repeats, dtype=_U)
-            table: dict[int, list[int]] = {}
-            for k in c["items"]:
-                for code in _walk(self.items[k][1], np.array([0]), c["seeds"], c["sampled"])[:, 0]:
-                    table.setdefault(int(code), []).append(k)
-            c["need"] = max(1, min(m - 2 - 3 * self.edits(m) for m in self.by_length if c["least"] <= m <= c["most"]))
-            c["keys"] = np.sort(np.array(list(table), _U))
-            c["table"] = table
+            c["need"] = min(map(self.shared, c["lengths"]))
+            c["span"] = c["lengths"][-1] + self.edits(c["lengths"][-1])
+            c["segment"] = length = max(1, min(-(-(n - self.edits(n)) // (self.edits(n) + 1)) for n in c["lengths"]))
+            c["seed"] = rng.integers(1, 2**63, dtype=_U)
+            starts = [np.arange(len(self.items[k][1]) - length + 1) for k in c["items"]]
+            codes = np.concatenate([_walk(self.items[k][1], at, length, c["seed"]) for k, at in zip(c["items"], starts, strict=True)])
+            order = np.argsort(codes, kind="stable")
+            c["codes"] = codes[order]
+            c["item"] = np.repeat(np.array(c["items"]), [len(at) for at in starts])[order]
+            c["at"] = np.concatenate(starts)[order]
+        #: Some items may be leaked by a text without any of their 3-word sequences.
+        self.unnarrowed = any(c["need"] <= 0 for c in self.classes)
 
     @staticmethod
     def _whole(w: np.ndarray) -> int:
@@ -122,37 +128,65 @@ class Benchmark:
     def edits(self, n: int) -> int:
         return int(self.tau * n)
 
-    def found_in(self, words: np.ndarray, hits: np.ndarray) -> dict[int, int]:
-        """Items of ten words or more that the text leaks, with their distances; hits: its benchmark 3-word sequences."""
+    def shared(self, n: int) -> int:
+        """3-word sequences that an item of n words keeps at least in a text that leaks it."""
+        return n - 2 - 3 * self.edits(n)
+
+    def found_in(self, words: np.ndarray, grams: np.ndarray, hits: np.ndarray) -> dict[int, int]:
+        """Items of ten words or more that the text leaks, with their distances; hits marks the benchmark's among its 3-word sequences."""
         out: dict[int, int] = {}
         total = np.concatenate([[0], np.cumsum(hits)])
-        all_starts = np.arange(len(words))
         for c in self.classes:
-            span = c["most"] + self.edits(c["most"])
-            need = c["need"]
-            if total[-1] < need:
+            if total[-1] < c["need"] or len(words) < c["segment"]:
                 continue
-            starts = all_starts[total[np.minimum(all_starts + span, len(hits))] - total[all_starts] >= need]
-            if not len(starts):
+            starts = np.arange(len(words))
+            dense = starts[total[np.minimum(starts + c["span"], len(hits))] - total[starts] >= c["need"]]
+            if not len(dense):
                 continue
-            candidates: dict[int, set[int]] = {}
-            codes = _walk(words, starts, c["seeds"], c["sampled"])
-            at = np.minimum(np.searchsorted(c["keys"], codes), len(c["keys"]) - 1)
-            for r, i in zip(*np.nonzero(c["keys"][at] == codes), strict=True):
-                for k in c["table"][int(codes[r, i])]:
-                    candidates.setdefault(k, set()).add(int(starts[i]))
-            for k, at in candidates.items():
-                item, last = self.items[k][1], -1
-                n = len(item)
-                for s in sorted(at):
-                    if s < last:  # within the stretch that was verified already
-                        continue
-                    lo, last = max(0, s - self.edits(n)), s + n
-                    d = edit_distance_within(item, words[lo : last + n + self.edits(n)])
-                    if d <= self.edits(n):
-                        out[k] = min(d, out.get(k, d))
+            first, past = (np.bincount(x, minlength=len(words) + 1) for x in (dense, np.minimum(dense + c["span"], len(words))))
+            starts = np.flatnonzero(np.cumsum(first - past)[: len(words) - c["segment"] + 1])
+            for k, at in self._aligned(c, words, starts):
+                item = self.items[k][1]
+                n, e = len(item), self.edits(len(item))
+                for first, last in _runs(at, n + 2 * e):
+                    lo, hi = max(0, first - e), min(len(words), last + n + e)
+                    if self._shares(k, grams[lo:hi], hits[lo:hi]):
+                        d = edit_distance_within(item, words[lo:hi])
+                        if d <= e:
+                            out[k] = min(d, out.get(k, d))
         return out
 
+    @staticmethod
+    def _aligned(c: dict, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Items with the sorted places in the text where they would start by an equal segment."""
+        codes = _walk(words, starts, c["segment"], c["seed"])
+        lo, hi = (np.searchsorted(c["codes"], codes, side) for side in ("left", "right"))
+        kept = hi > lo
+        starts, lo, n = starts[kept], lo[kept], (hi - lo)[kept]
+        upto = np.cumsum(n)
+        pairs = np.zeros(0, np.int64)
+        first = 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PAIRS, "right")))
+            m = n[first:last]
+            row = np.repeat(lo[first:last] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            new = (c["item"][row] << 32) + (np.repeat(starts[first:last], m) - c["at"][row] + (1 << 31))
+            pairs = np.unique(np.concatenate([pairs, new]))
+            first = last
+        item, place = pairs >> 32, (pairs & 0xFFFFFFFF) - (1 << 31)
+        bounds = [*np.flatnonzero(np.diff(item, prepend=-1)), len(pairs)]
+        for i, j in zip(bounds, bounds[1:], strict=False):
+            yield int(item[i]), place[i:j]
+
+    def _shares(self, k: int, grams: np.ndarray, hits: np.ndarray) -> bool:
+        """Whether some window as long as a leak of the item may be holds enough of its 3-word sequences."""
+        n = len(self.items[k][1])
+        own = hits.copy()
+        own[hits] = np.isin(grams[hits], self.own[k])
+        total = np.concatenate([[0], np.cumsum(own)])
+        at = np.arange(len(total))
+        return bool((total[np.minimum(at + n + self.edits(n), len(own))] - total).max() >= self.shared(n))
+
     def short_in(self, words: np.ndarray) -> dict[int, int]:
         out: dict[int, int] = {}
         for n, table in self.short.items():
@@ -196,13 +230,15 @@ def _searcher(packed):
                 hit = np.zeros(len(hashes), bool)
                 maybe = np.flatnonzero(bench.filter[(grams >> _U(44)).astype(np.int64)])
                 hit[at[maybe[np.isin(grams[maybe], bench.grams)]]] = True
+                placed = np.zeros(len(hashes), _U)
+                placed[at] = grams
                 hits = np.concatenate([[0], np.cumsum(hit)])
                 n = hits[found.bounds[1:]] - hits[found.bounds[:-1]]
-                for i in range(chunk.rows) if bench.short else np.flatnonzero(n):
+                for i in range(chunk.rows) if bench.short or bench.unnarrowed else np.flatnonzero(n):
                     lo, hi = found.bounds[i], found.bounds[i + 1]
                     got = bench.short_in(hashes[lo:hi]) if bench.short else {}
-                    if n[i]:
-                        got |= bench.found_in(hashes[lo:hi], hit[lo:hi])
+                    if n[i] or bench.unnarrowed:
+                        got |= bench.found_in(hashes[lo:hi], placed[lo:hi], hit[lo:hi])
                     for k, d in sorted(got.items()):
                         rows["doc_id"].append(ids[chunk.first + int(i)].as_py())
                         rows["item_id"].append(bench.items[k][0])

@@ -49,6 +49,39 @@ def test_recall_and_exactness(spark):
     assert len(expected) >= 200 and len(got) >= 0.97 * len(expected), (len(got), len(expected))
 
 
+def placed(rng, words, part, vocab):
+    """The words with a fifth of them edited, all edits within a part of the item."""
+    n = len(words)
+    lo, hi = {"head": (0, 0.2), "front": (0, 0.4), "middle": (0.3, 0.7), "tail": (0.8, 1), "everywhere": (0, 1)}[part]
+    at = rng.sample(range(int(lo * n), max(int(hi * n), int(lo * n) + int(D.TAU * n))), int(D.TAU * n))
+    kind = rng.choice(["replace", "cut", "insert"])
+    return [x for i, w in enumerate(words) for x in ([w] if i not in at else {"replace": [rng.choice(vocab)], "cut": [], "insert": [rng.choice(vocab), w]}[kind])]
+
+
+def test_no_leak_is_lost_wherever_the_edits_are(spark):
+    rng = random.Random(7)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(n * 10 + k, " ".join(rng.choices(vocab, k=n))) for n in (10, 15, 30, 60, 100, 150, 240) for k in range(2)]
+    docs = []
+    for part in ("head", "front", "middle", "tail", "everywhere"):
+        for _, text in items:
+            for _ in range(2):
+                around = rng.choices(vocab, k=40)
+                docs.append((len(docs), " ".join(around[:20] + placed(rng, text.split(), part, vocab) + around[20:])))
+    expected = brute(docs, items)
+    got = {(r.doc_id, r.item_id): r.edits for r in D.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert len(expected) >= len(docs) and got == expected, (len(got), len(expected))
+
+
+def test_no_leak_is_lost_at_a_wider_tau():
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(50)]
+    item = rng.choices(vocab, k=12)
+    bench = D.Benchmark([(1, " ".join(item))], 0.4)
+    words = D._text_words(" ".join(["x", *(f"y{i}" if i % 3 == 0 else w for i, w in enumerate(item)), "z"]))
+    assert bench.unnarrowed and bench.found_in(words, np.zeros(len(words), np.uint64), np.zeros(len(words), bool)) == {0: 4}
+
+
 def test_edges(spark):
     item = " ".join(f"a{i}" for i in range(20))
     items = [(1, item), (2, item), (3, ""), (4, None), (5, "short item here"), (None, item)]
