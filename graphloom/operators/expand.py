@@ -58,6 +58,14 @@ def linked_by_key(rows: DataFrame, key: str, group: str, same_group: bool) -> Da
     return (pairs if same_group else pairs.where("ga <> gb")).select("a", "b", key)
 
 
+def overlaps(pages: DataFrame) -> DataFrame:
+    """Pairs a < b of distinct ``pages(g, x)`` that share more than half of the smaller one's symbols, and how many."""
+    own = pages.withColumn("n", F.count("*").over(Window.partitionBy("g")))
+    a, b = (own.select(F.col("g").alias(k), "x", F.col("n").alias(f"n{k}")) for k in "ab")
+    pairs = a.join(b, "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return pairs.where(F.col("shared") > 0.5 * F.least("na", "nb")).select("a", "b", "shared")
+
+
 def greedy_budget(items: DataFrame, page: str, order: list[str], cost: str, budget: int) -> DataFrame:
     """Per page the items that fit, taken in order; one too large is skipped and the next tried.  Sequential by nature:
     a page's costs alone go through Python, one batch of a page after another."""

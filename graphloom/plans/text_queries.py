@@ -264,10 +264,14 @@ def overlap_pairs(spark, sf):
     """Pairs of pages that share more than half of the smaller one's symbols."""
     o = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 40).alias("g"))
     s = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 100).alias("x")).join(o, "l_orderkey").select("g", "x").distinct()
-    s = s.withColumn("n", F.count("*").over(Window.partitionBy("g")))
-    a, b = (s.select(F.col("g").alias(k), "x", F.col("n").alias(f"n{k}")) for k in "ab")
-    pairs = a.join(b, "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return pairs.where(F.col("shared") > 0.5 * F.least("na", "nb")).select("a", "b", "shared")
+    return X.overlaps(s)
+
+
+@query("overlap_pairs_all", "WITH s AS (SELECT DISTINCT o_custkey AS g, l_partkey AS x FROM orders JOIN lineitem ON l_orderkey = o_orderkey), z AS (SELECT g, count(*) AS n FROM s GROUP BY 1) SELECT a.g AS a, b.g AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.g < b.g JOIN z za ON za.g = a.g JOIN z zb ON zb.g = b.g GROUP BY 1, 2, za.n, zb.n HAVING count(*) > 0.5 * least(za.n, zb.n)")
+def overlap_pairs_all(spark, sf):
+    """The same over all orders and their items: every customer is a page, every part a symbol."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("g"))
+    return X.overlaps(table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("x")).join(o, "l_orderkey").select("g", "x").distinct())
 
 
 @query("doc_clusters", "SELECT source, round(avg((lang = 'en')::INT), 6) AS share FROM documents GROUP BY 1 HAVING avg((lang = 'en')::INT) > 0.6")

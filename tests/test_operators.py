@@ -7,7 +7,7 @@ from graphloom.functions import scalars as S
 from graphloom.operators import expand as X
 from graphloom.operators import graph as G
 from graphloom.operators import search as K
-from graphloom.plans import jql
+from graphloom.plans import catalog, jql
 from graphloom.sources import code
 from graphloom.streaming import events as E
 
@@ -116,3 +116,17 @@ def test_stream_windows(spark, sf_dir):
     q.stop()
     want = E.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet")).count()
     assert spark.table("counts").count() == want
+
+
+def test_overlaps_of_the_whole_tables(spark, tmp_path):
+    """No order (here none is divisible by 50) and no customer or part beyond 100 may be left out or folded together."""
+    orders = [(o, c) for o, c in [(1, 1), (2, 41), (3, 2), (7, 1), (51, 300), (99, 400)]]
+    items = [(1, 5), (1, 105), (7, 6), (2, 5), (2, 105), (2, 9), (3, 205), (51, 5), (51, 6), (51, 6), (99, 777)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    customer, pages = dict(orders), {}
+    for o, part in items:
+        pages.setdefault(customer[o], set()).add(part)
+    want = {(a, b, len(pages[a] & pages[b])) for a, b in itertools.combinations(sorted(pages), 2) if 2 * len(pages[a] & pages[b]) > min(len(pages[a]), len(pages[b]))}
+    assert {(1, 41, 2), (1, 300, 2)} == want
+    assert {tuple(r) for r in catalog.QUERIES["overlap_pairs_all"](spark, str(tmp_path)).collect()} == want
