@@ -164,6 +164,13 @@ def alias_chain(spark, sf):
     return G.alias_targets(o, 5)
 
 
+@query("alias_chain_all", "WITH RECURSIVE step AS (SELECT o_orderkey AS s, o_orderkey // 7 AS t FROM orders), walk AS (SELECT s, t, 1 AS hops FROM step UNION ALL SELECT w.s, step.t, hops + 1 FROM walk w JOIN step ON step.s = w.t WHERE hops < 5) SELECT 'o:' || s AS source_id, 'o:' || arg_max(t, hops) AS resolved, max(hops) AS hops FROM walk GROUP BY s")
+def alias_chain_all(spark, sf):
+    """The same over the alias steps of all orders."""
+    key = F.col("o_orderkey")
+    return G.alias_targets(table(spark, sf, "orders").select(F.concat(F.lit("o:"), key.cast("string")).alias("source_id"), F.concat(F.lit("o:"), F.floor(key / 7).cast("string")).alias("target_id")), 5)
+
+
 @query("nearest_ancestor_anchor", f"""{_W}, d AS (SELECT n.node_id, rel_path, (SELECT count(*) FROM orders WHERE 'c:' || o_custkey = n.node_id AND o_orderkey % 20 = 0) AS degree FROM nodes n WHERE symbol_type = 'customer'),
 p AS (SELECT node_id, degree, 0 AS depth, regexp_replace(rel_path, '/?[^/]*$', '') AS dir FROM d UNION ALL SELECT node_id, degree, 1, 'src/customer' FROM d UNION ALL SELECT node_id, degree, 2, 'src' FROM d UNION ALL SELECT node_id, degree, 3, '' FROM d),
 best AS (SELECT dir, arg_max(node_id, (degree, node_id)) AS anchor FROM p WHERE degree > 0 GROUP BY 1)
@@ -174,6 +181,15 @@ def nearest_anchor(spark, sf):
     return G.nearest_anchor(n, calls.select(F.lit("").alias("source_id"), F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("target_id")))
 
 
+@query("nearest_ancestor_anchor_all", f"""{_W}, {_DEG}, d AS (SELECT node_id, regexp_replace(rel_path, '/?[^/]*$', '') AS dir, in_degree + out_degree AS degree FROM nodes JOIN deg USING (node_id)),
+p AS (SELECT node_id, degree, 0 AS depth, dir FROM d UNION ALL SELECT node_id, degree, 1, regexp_replace(dir, '/[^/]*$', '') FROM d UNION ALL SELECT node_id, degree, 2, 'src' FROM d UNION ALL SELECT node_id, degree, 3, '' FROM d),
+best AS (SELECT dir, arg_max(node_id, (degree, node_id)) AS anchor FROM p WHERE degree > 0 GROUP BY 1)
+SELECT p.node_id AS orphan, arg_min(anchor, depth) AS anchor, CAST(min(depth) AS INT) AS depth FROM p JOIN best USING (dir) WHERE degree = 0 GROUP BY 1""")
+def nearest_anchor_all(spark, sf):
+    """The same over all nodes and edges."""
+    return G.nearest_anchor(nodes(spark, sf), edges(spark, sf))
+
+
 _PRI = "CASE symbol_type WHEN 'region' THEN 10 WHEN 'nation' THEN 8 WHEN 'supplier' THEN 6 WHEN 'part' THEN 3 ELSE 1 END"
 
 

@@ -7,7 +7,7 @@ from graphloom.functions import scalars as S
 from graphloom.operators import expand as X
 from graphloom.operators import graph as G
 from graphloom.operators import search as K
-from graphloom.plans import catalog, jql
+from graphloom.plans import catalog, jql, views
 from graphloom.sources import code
 from graphloom.streaming import events as E
 
@@ -130,3 +130,51 @@ def test_overlaps_of_the_whole_tables(spark, tmp_path):
     want = {(a, b, len(pages[a] & pages[b])) for a, b in itertools.combinations(sorted(pages), 2) if 2 * len(pages[a] & pages[b]) > min(len(pages[a]), len(pages[b]))}
     assert {(1, 41, 2), (1, 300, 2)} == want
     assert {tuple(r) for r in catalog.QUERIES["overlap_pairs_all"](spark, str(tmp_path)).collect()} == want
+
+
+def tables(spark, path, **given):
+    for name, (rows, schema) in given.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{name}.parquet")
+
+
+def test_alias_chains_of_all_orders(spark, tmp_path):
+    keys = [1, 2, 7, 8, 14, 49, 50, 98, 343, 344, 2401, 2402, 16807, 16808, 117649]
+    tables(spark, tmp_path, orders=([(k,) for k in keys], "o_orderkey long"))
+    want = set()
+    for k in keys:
+        at, hops = k // 7, 1
+        while at in keys and hops < 5:
+            at, hops = at // 7, hops + 1
+        want.add((f"o:{k}", f"o:{at}", hops))
+    assert max(h for _, _, h in want) == 5
+    assert {tuple(r) for r in catalog.QUERIES["alias_chain_all"](spark, str(tmp_path)).select("source_id", "resolved", "hops").collect()} == want
+
+
+def test_anchors_of_all_nodes(spark, tmp_path):
+    """Orphans and anchors of every type; orders not divisible by 20 count."""
+    tables(
+        spark, tmp_path,
+        region=([(0, "A"), (1, "B")], "r_regionkey long, r_name string"),
+        nation=([(3, "N", 0)], "n_nationkey long, n_name string, n_regionkey long"),
+        customer=([(1, "x", 3), (11, "y", 3)], "c_custkey long, c_name string, c_nationkey long"),
+        supplier=([(5, "s", 3)], "s_suppkey long, s_name string, s_nationkey long"),
+        part=([(2, "p"), (12, "q"), (4, "t")], "p_partkey long, p_name string"),
+        orders=([(7, 1), (9, 1), (13, 11)], "o_orderkey long, o_custkey long"),
+        lineitem=([(7, 2, 5), (9, 2, 5)], "l_orderkey long, l_partkey long, l_suppkey long"),
+    )
+    spark_nodes = {r.node_id: r.rel_path for r in views.nodes(spark, str(tmp_path)).collect()}
+    degree = dict.fromkeys(spark_nodes, 0)
+    for r in views.edges(spark, str(tmp_path)).collect():
+        degree[r.source_id] += 1
+        degree[r.target_id] += 1
+    want = set()
+    for n in (n for n, d in degree.items() if not d):
+        parts = spark_nodes[n].split("/")[:-1]
+        for depth in range(len(parts) + 1):
+            above = "/".join(parts[: len(parts) - depth])
+            near = [(degree[m], m) for m, p in spark_nodes.items() if degree[m] and (p.startswith(f"{above}/") or not above)]
+            if near:
+                want.add((n, max(near)[1], depth))
+                break
+    assert {w[0] for w in want} == {"r:1", "p:12", "p:4"} and ("p:12", "p:2", 0) in want and ("p:4", "p:2", 1) in want
+    assert {tuple(r) for r in catalog.QUERIES["nearest_ancestor_anchor_all"](spark, str(tmp_path)).collect()} == want
