@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
 from graphloom.operators.components import components
-from graphloom.sources.shared import written
+from graphloom.sources.shared import discard, written
+
+
+#: Frontiers of up to so many nodes are broadcast; larger ones are joined.
+BROADCAST_NODES = 200_000
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -17,15 +21,25 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
+#: Classes of edges that were made, not parsed, and the least weight of such an edge.
+SYNTHETIC = ("directory", "lexical", "semantic", "doc", "bridge")
+SYNTHETIC_FLOOR = 0.5
+
+
 def edge_weights(edges: DataFrame) -> DataFrame:
-    """weight = 1 / ln(in-degree of the target + 2)."""
-    into = edges.groupBy("target_id").agg(F.count("*").alias("in_degree"))
-    return edges.join(into, "target_id").select("source_id", "target_id", "rel_type", (1 / F.log(F.col("in_degree") + 2.0)).alias("weight"))
+    """weight = 1 / ln(in-degree of the target + 2), the in-degree by structural edges alone; other edges weigh at least SYNTHETIC_FLOOR.
+
+    ``edge_class`` is structural where the column is missing or null."""
+    made = F.coalesce(F.col("edge_class"), F.lit("structural")).isin(*SYNTHETIC) if "edge_class" in edges.columns else F.lit(False)
+    kept = [c for c in ("source_id", "target_id", "rel_type", "edge_class") if c in edges.columns]
+    into = edges.groupBy("target_id").agg(F.count_if(~made).alias("in_degree"))
+    weight = 1 / F.log(F.col("in_degree") + 2.0)
+    return edges.join(into, "target_id").select(*kept, F.when(made, F.greatest(weight, F.lit(SYNTHETIC_FLOOR))).otherwise(weight).alias("weight"))
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Nodes whose in-degree lies more than ``threshold`` population deviations above the mean of all nodes."""
-    d = degrees(nodes, edges)
+    d = written(degrees(nodes, edges), "degrees")
     whole = d.agg(F.avg("in_degree").alias("m"), F.stddev_pop("in_degree").alias("s"), F.count("*").alias("n"))
     z = (F.col("in_degree") - F.col("m")) / F.col("s")
     return d.crossJoin(F.broadcast(whole)).where("n >= 3 AND s > 0").select("node_id", "in_degree", z.alias("z")).where(F.col("z") > threshold)
@@ -43,17 +57,17 @@ def having_relation(nodes: DataFrame, edges: DataFrame, relations: list[str]) ->
 
 
 def within_hops(edges: DataFrame, starts: DataFrame, hops: int, direction: str = "both") -> DataFrame:
-    """node_id and its least distance from ``starts(node_id)``; the frontier alone is joined with the edges."""
+    """node_id and its least distance from ``starts(node_id)``; the edges are read in each round, joined with the frontier
+    alone before anything is made distinct, and the frontier is written, so plans do not grow."""
     out = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     back = out.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    arcs = {"out": out, "in": back, "both": out.union(back)}[direction].distinct()
-    if hops > 2:  # read in every round
-        arcs = written(arcs, "arcs")
-    seen = frontier = starts.select("node_id").distinct().withColumn("hop", F.lit(0))
+    arcs = {"out": out, "in": back, "both": out.union(back)}[direction]
+    seen = frontier = written(starts.select("node_id").distinct().withColumn("hop", F.lit(0)), "frontier")
     for hop in range(1, hops + 1):
-        reached = arcs.join(frontier, F.col("a") == F.col("node_id")).select(F.col("b").alias("node_id")).distinct()
+        near = F.broadcast(frontier) if frontier.count() <= BROADCAST_NODES else frontier
+        reached = arcs.join(near, F.col("a") == F.col("node_id")).select(F.col("b").alias("node_id")).distinct()
         frontier = reached.join(seen, "node_id", "left_anti").withColumn("hop", F.lit(hop))
-        if hops > 2:
+        if hop < hops:
             frontier = written(frontier, "frontier")
         seen = seen.unionByName(frontier)
     return seen
@@ -83,29 +97,38 @@ def undirected(edges: DataFrame, weight: str | None = None) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """PageRank on the undirected weighted graph; mass of nodes without edges is spread evenly.
 
-    Each round is one join of the arcs with the ranks and one combining aggregation; ranks are written every fifth round.
+    The rank of a node with edges is a sum over its arcs, that of all others is one number, so a round is one join of the
+    arcs with the ranks of nodes that have edges and one combining aggregation; the loose mass is a number that follows
+    from those ranks' sum.  Arcs are partitioned by their start once and ranks are written in every round, so plans do
+    not grow.
     """
     pairs = undirected(edges)
     arcs = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").union(pairs.where("a <> b").select("b", "a", "weight"))
     total = arcs.groupBy("u").agg(F.sum("weight").alias("total"))
     arcs = written(arcs.join(total, "u").select("u", "v", (F.col("weight") / F.col("total")).alias("share")), "arcs")
-    ids = nodes.select("node_id").join(total.select(F.col("u").alias("node_id"), F.lit(1).alias("linked")), "node_id", "left").withColumn("n", F.lit(nodes.count()).cast("double"))
-    ranks = ids.select("node_id", "linked", "n", (1 / F.col("n")).alias("rank"))
-    for i in range(iterations):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("linked").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        given = arcs.join(ranks.select(F.col("node_id").alias("u"), "rank"), "u").groupBy(F.col("v").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = ids.join(given, "node_id", "left").crossJoin(F.broadcast(loose)).select("node_id", "linked", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))).alias("rank"))
-        if i % 5 == 4:
-            ranks = written(ranks, "ranks")
-    return ranks.select("node_id", "rank")
+    n = nodes.count()
+    ids = written(nodes.select("node_id").join(total.select(F.col("u").alias("node_id"), F.lit(1).alias("linked")), "node_id", "left"), "ids")
+    linked = ids.where("linked = 1").select(F.col("node_id").alias("u"))
+    ranks, held, rest = linked.withColumn("rank", F.lit(1.0 / max(n, 1))), linked.count() / max(n, 1), 1.0 / max(n, 1)
+    before = None
+    for _ in range(iterations):
+        given = arcs.join(ranks, "u").groupBy(F.col("v").alias("u")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        base = (1 - damping) / n + damping * (1 - held) / n
+        ranks = written(given.select("u", (F.lit(base) + damping * F.col("got")).alias("rank")), "ranks")
+        held, rest = ranks.agg(F.sum("rank")).first()[0] or 0.0, base
+        if before is not None:
+            discard(before)
+        before = ranks
+    return ids.join(ranks.withColumnRenamed("u", "node_id"), "node_id", "left").select("node_id", F.coalesce("rank", F.lit(rest)).alias("rank"))
 
 
 def contracted(nodes: DataFrame, edges: DataFrame, group) -> DataFrame:
-    """Edges between groups of nodes (``group`` maps rel_path to a group): unordered pairs, summed, loops dropped."""
+    """Edges between groups of nodes (``group`` maps rel_path to a group): unordered pairs with summed weights (or counts, without
+    weights), loops dropped."""
     own = nodes.select("node_id", group(F.col("rel_path")).alias("g"))
     a, b = own.select(F.col("node_id").alias("source_id"), F.col("g").alias("ga")), own.select(F.col("node_id").alias("target_id"), F.col("g").alias("gb"))
     joined = edges.join(a, "source_id").join(b, "target_id").where("ga <> gb")
-    return joined.groupBy(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg(F.count("*").alias("weight"))
+    return joined.groupBy(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).agg((F.sum("weight") if "weight" in edges.columns else F.count("*")).alias("weight"))
 
 
 def nearest_anchor(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from graphloom.operators import graph as G
 from graphloom.plans import jql
 from graphloom.plans.registry import query
 from graphloom.plans.views import GRAPH_SQL, edges, nodes, table
-from graphloom.sources.shared import written
 
 _W = f"WITH {GRAPH_SQL}"
 _DEG = "deg AS (SELECT node_id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM nodes LEFT JOIN (SELECT target_id, count(*) i FROM edges GROUP BY 1) a ON a.target_id = node_id LEFT JOIN (SELECT source_id, count(*) o FROM edges GROUP BY 1) b ON b.source_id = node_id)"
@@ -254,18 +253,6 @@ def expand_two_hop(spark, sf):
     return pairs.groupBy("start").agg(F.count("*").alias("ends"), F.array_join(F.array_sort(F.collect_list("end")), ",").alias("joined"))
 
 
-@query("bridge_components", f"{_W}, s AS (SELECT * FROM edges WHERE rel_type = 'contains'), d AS (SELECT target_id AS x, count(*) AS n FROM s GROUP BY 1), top AS (SELECT arg_max(x, (n, x)) AS x FROM d) SELECT x AS a, (SELECT x FROM top) AS b FROM d WHERE x <> (SELECT x FROM top)")
-def bridge_components(spark, sf):
-    """Every component of the containment graph is tied to the largest, by the nodes of highest degree."""
-    e = edges(spark, sf).where("rel_type = 'contains'")
-    n = e.select(F.col("source_id").alias("node_id")).union(e.select("target_id")).distinct()
-    d = G.degrees(n, e).select("node_id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
-    reps = G.weak_components(n, e).join(d, "node_id").groupBy("component").agg(F.max_by("node_id", F.struct("degree", "node_id")).alias("rep"), F.struct(F.count("*"), F.max(F.struct("degree", "node_id"))).alias("size"))
-    reps = written(reps, "reps")
-    largest = reps.agg(F.max_by("rep", "size").alias("b"))
-    return reps.crossJoin(F.broadcast(largest)).where("rep <> b").select(F.col("rep").alias("a"), "b")
-
-
 @query("louvain")
 def louvain(spark, sf):
     """Communities of the graph of directories (contracted first, so its size is that of the directory tree)."""
