@@ -79,6 +79,15 @@ def _is(column: Column, value: str) -> Column:
     return column.rlike(glob(value)) if re.search(r"[*?\[]", value) else F.lower(column) == value.lower()
 
 
+def _holds(nodes: DataFrame, value: str) -> Column:
+    """All words of a value, in the name, docstring or text of a node."""
+    where = F.concat_ws(" ", *(F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("symbol_name", "docstring", "source_text") if c in nodes.columns))
+    out = F.lit(True)
+    for word in value.lower().split():
+        out = out & where.contains(word)
+    return out
+
+
 def compile_jql(query: str | Jql, nodes: DataFrame, edges: DataFrame, strict: bool = False) -> DataFrame:
     """node_id, symbol_name, symbol_type, rel_path and connections of the nodes that match, the best connected first."""
     q = parse(query, strict) if isinstance(query, str) else query
@@ -102,10 +111,10 @@ def compile_jql(query: str | Jql, nodes: DataFrame, edges: DataFrame, strict: bo
                 continue
             test = {
                 "type": lambda v: _is(F.col("symbol_type"), v),
-                "layer": lambda v: _is(S.layer(F.col("symbol_name"), F.col("symbol_type"), F.col("rel_path"), F.lit(None).cast("string")), v),
+                "layer": lambda v: _is(S.layer(F.col("symbol_name"), F.col("symbol_type"), F.col("rel_path"), F.col("parent_symbol") if "parent_symbol" in nodes.columns else F.lit(None).cast("string")), v),
                 "file": lambda v: F.col("rel_path").rlike(glob(v)) if re.search(r"[*?\[]", v) else S.within(F.col("rel_path"), v),
                 "name": lambda v: _is(F.col("symbol_name"), v),
-                "text": lambda v: F.lower("symbol_name").contains(v.lower()),
+                "text": lambda v: _holds(nodes, v),
             }[c.field](c.value)
             own = own.where(~test if negate else test)
         parts = own if parts is None else parts.union(own)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
 from graphloom.operators import expand as X
+from graphloom.operators import fts
 from graphloom.operators import search as K
 from graphloom.plans.registry import query
 from graphloom.plans.views import CORPUS_SQL, corpus, table, vectors
@@ -15,6 +16,21 @@ from graphloom.streaming import events as E
 r6 = lambda c: F.round(c, 6)
 _C = f"WITH {CORPUS_SQL}"
 TERMS = ["the", "and", "thtion"]
+
+
+def _okapi_index(spark, sf):
+    return fts.kept(spark, "okapi", f"{sf}/documents.parquet", lambda: fts.text_index(table(spark, sf, "documents")))
+
+
+def _okapi_best(spark, sf, k=20, among=None):
+    return fts.okapi(_okapi_index(spark, sf), TERMS, k, among)
+
+
+def _words_index(spark, sf):
+    """Words of texts and paths, with underscores inside words."""
+    return fts.kept(spark, "words", f"{sf}/documents.parquet", lambda: fts.build(corpus(spark, sf), "doc_id", {"text": F.col("text"), "path": F.col("path")}, K.word_tokens))
+
+
 _TOK = "tok AS (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS t FROM corpus)"
 _WORDS = "tok AS (SELECT *, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: t <> '') AS t FROM corpus)"
 
@@ -29,7 +45,7 @@ def _okapi(where: str = "true", terms=TERMS) -> str:
 
 @query("bm25_okapi", f"{_C}, {_okapi()} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
 def bm25_okapi(spark, sf):
-    return K.bm25_okapi(corpus(spark, sf), TERMS).withColumn("score", r6("score"))
+    return _okapi_best(spark, sf).withColumn("score", r6("score"))
 
 
 _IN = "language = 'en' AND (path LIKE 'src1/%' OR path LIKE 'src2/%')"
@@ -38,7 +54,7 @@ _IN = "language = 'en' AND (path LIKE 'src1/%' OR path LIKE 'src2/%')"
 @query("bm25_filtered", f"{_C}, {_okapi(_IN)} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
 def bm25_filtered(spark, sf):
     inside = (F.col("language") == "en") & (S.within(F.col("path"), "src1") | S.within(F.col("path"), "src2"))
-    return K.bm25_okapi(corpus(spark, sf), TERMS, where=inside).withColumn("score", r6("score"))
+    return _okapi_best(spark, sf, among=corpus(spark, sf).where(inside)).withColumn("score", r6("score"))
 
 
 def _weighted(match: str) -> str:
@@ -51,12 +67,12 @@ def _weighted(match: str) -> str:
 
 @query("bm25_weighted_cols", _weighted("x = '{x}'"))
 def bm25_weighted_cols(spark, sf):
-    return K.bm25_columns(corpus(spark, sf), {"text": 1.0, "path": 10.0}, ["tion", "en"]).withColumn("score", r6("score"))
+    return fts.search(_words_index(spark, sf), [[fts.phrase(w)] for w in ("tion", "en")], {"text": 1.0, "path": 10.0}, 20).withColumn("score", r6("score"))
 
 
 @query("prefix_search", _weighted("starts_with(x, '{x}')"))
 def prefix_search(spark, sf):
-    return K.bm25_columns(corpus(spark, sf), {"text": 1.0, "path": 10.0}, ["tion", "en"], prefix=True).withColumn("score", r6("score"))
+    return fts.search(_words_index(spark, sf), [[fts.phrase(w, True)] for w in ("tion", "en")], {"text": 1.0, "path": 10.0}, 20).withColumn("score", r6("score"))
 
 
 @query("phrase_search", f"{_C}, {_WORDS} SELECT doc_id FROM tok WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' all rights reserved ')")
@@ -123,7 +139,7 @@ _FTS = f"fts AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)
 
 
 def _lists(spark, sf):
-    fts = K.ranked_list(K.bm25_okapi(corpus(spark, sf), TERMS, 30), "doc_id", [F.desc("score"), F.col("doc_id")])
+    fts = K.ranked_list(_okapi_best(spark, sf, 30), "doc_id", [F.desc("score"), F.col("doc_id")])
     vec = K.ranked_list(K.knn(vectors(spark, sf), _to(spark, sf), 30).withColumnRenamed("vec_id", "doc_id"), "doc_id", [F.col("distance"), F.col("doc_id")])
     return fts, vec
 
@@ -144,7 +160,7 @@ def rrf_both_lists(spark, sf):
 
 @query("docs_semantic_cutoff", f"{_C}, {_okapi()}, h AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 50) SELECT doc_id, round(score, 6) AS score FROM h WHERE score >= (SELECT max(score) FROM h) * 0.98 ORDER BY h.score DESC, doc_id LIMIT 10")
 def docs_semantic_cutoff(spark, sf):
-    return K.cutoff(K.bm25_okapi(corpus(spark, sf), TERMS, 50), 0.02, 10).withColumn("score", r6("score"))
+    return K.cutoff(_okapi_best(spark, sf, 50), 0.02, 10).withColumn("score", r6("score"))
 
 
 @query("token_estimate", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE CAST(greatest(1, floor(length(text) / 3.5)) AS BIGINT) END AS tokens FROM documents")
@@ -172,14 +188,6 @@ def test_path_flag(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.col("url").rlike("(?i)(^|/)(en|de)/[0-9]").alias("flagged"), S.is_test_path(F.regexp_replace("url", "/(en|de)/", "/tests/")).alias("test"))
 
 
-@query("layer_classify", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'constant' WHEN s_suppkey % 5 = 1 THEN 'core_type' WHEN s_suppkey % 5 = 2 THEN 'infrastructure' WHEN s_suppkey % 5 = 3 THEN 'internal' ELSE 'public_api' END AS layer FROM supplier")
-def layer_classify(spark, sf):
-    s = table(spark, sf, "supplier").withColumn("m", F.col("s_suppkey") % 5)
-    kind = F.when(F.col("m") == 0, "constant").when(F.col("m") == 1, "interface").otherwise("class")
-    name = F.when(F.col("m") == 3, "_hidden").otherwise(F.col("s_name"))
-    return s.select("s_suppkey", S.layer(name, kind, F.when(F.col("m") == 2, "src/db/x.py").otherwise("src/x.py"), F.lit(None).cast("string")).alias("layer"))
-
-
 @query("score_norm", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE round(1 / (1 + exp(-c_acctbal / 5000)), 6) END AS norm FROM customer")
 def score_norm(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", r6(S.score_norm(F.when(F.col("c_custkey") % 7 != 0, -F.col("c_acctbal") / 5000))).alias("norm"))
@@ -231,28 +239,6 @@ def dominant_language(spark, sf):
     return table(spark, sf, "documents").groupBy("source", "lang").count().groupBy("source").agg(F.max_by("lang", F.struct("count", "lang")).alias("lang"), F.max("count").alias("n"))
 
 
-_CAND = "SELECT source AS macro, lang AS micro, count(*) AS n, round(avg((length(text) >= 500)::INT), 6) AS evidence, round(avg((contains(lower(text), 'license'))::INT), 6) AS docs, count(DISTINCT doc_id % 10) AS spread FROM documents GROUP BY 1, 2"
-
-
-def _candidates(spark, sf):
-    share = lambda c: r6(F.avg(c.cast("int")))
-    return table(spark, sf, "documents").groupBy(F.col("source").alias("macro"), F.col("lang").alias("micro")).agg(F.count("*").alias("n"), share(F.length("text") >= 500).alias("evidence"), share(F.lower("text").contains("license")).alias("docs"), F.countDistinct(F.col("doc_id") % 10).alias("spread"))
-
-
-@query("candidate_metrics", _CAND)
-def candidate_metrics(spark, sf):
-    return _candidates(spark, sf)
-
-
-@query("candidate_class", f"SELECT macro, micro, CASE WHEN docs >= 0.7 THEN 'docs' WHEN spread >= 3 AND spread * 2 > n THEN 'bridge' WHEN evidence >= 0.5 THEN 'code' ELSE 'mixed' END AS class, CASE WHEN n < 4 THEN 'merge' WHEN docs >= 0.7 THEN 'docs' WHEN n > greatest(60, floor(1.5 * avg(n) OVER ())) THEN 'split' ELSE 'keep' END AS shape FROM ({_CAND})")
-def candidate_class(spark, sf):
-    c = _candidates(spark, sf)
-    mean = c.agg(F.avg("n").alias("mean"))
-    kind = F.when(F.col("docs") >= 0.7, "docs").when((F.col("spread") >= 3) & (F.col("spread") * 2 > F.col("n")), "bridge").when(F.col("evidence") >= 0.5, "code").otherwise("mixed")
-    shape = F.when(F.col("n") < 4, "merge").when(F.col("docs") >= 0.7, "docs").when(F.col("n") > F.greatest(F.lit(60), F.floor(1.5 * F.col("mean"))), "split").otherwise("keep")
-    return c.crossJoin(F.broadcast(mean)).select("macro", "micro", kind.alias("class"), shape.alias("shape"))
-
-
 @query("coverage", "SELECT source, count(*) AS total, count(l.doc_id) AS covered, round(count(l.doc_id) / count(*), 6) AS share FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
 def coverage(spark, sf):
     seen = table(spark, sf, "labels").select("doc_id").distinct().withColumn("y", F.lit(1))
@@ -274,11 +260,6 @@ def overlap_pairs_all(spark, sf):
     return X.overlaps(table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("x")).join(o, "l_orderkey").select("g", "x").distinct())
 
 
-@query("doc_clusters", "SELECT source, round(avg((lang = 'en')::INT), 6) AS share FROM documents GROUP BY 1 HAVING avg((lang = 'en')::INT) > 0.6")
-def doc_clusters(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.avg((F.col("lang") == "en").cast("int")).alias("share")).where("share > 0.6").withColumn("share", r6("share"))
-
-
 _SURF = r"SELECT page_id AS id, regexp_extract(url, '/([a-z]{2})/[0-9]+', 1) AS g, regexp_extract(url, '([0-9]{1,2})\.html', 1) AS k FROM pages"
 
 
@@ -289,42 +270,13 @@ def surface_pairs(spark, sf):
     return X.linked_by_key(s, "k", "g", False)
 
 
-@query("test_link", "SELECT p.p_partkey AS part, s.s_suppkey AS test FROM part p JOIN supplier s ON p.p_partkey % 100 = s.s_suppkey % 100 WHERE p.p_size < 5")
-def test_link(spark, sf):
-    """Test files meet production files by stem with test decorations stripped."""
-    prod = table(spark, sf, "part").where("p_size < 5").select(F.col("p_partkey").alias("part"), F.concat(F.lit("mod"), (F.col("p_partkey") % 100).cast("string")).alias("stem"))
-    tests = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("test"), S.stripped_test_name(F.concat(F.lit("test_mod"), (F.col("s_suppkey") % 100).cast("string"))).alias("stem"))
-    return prod.join(tests, "stem").select("part", "test")
-
-
 @query("html_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def html_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
-@query("surface_extract", r"SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '<(h1|title|article|footer|nav)[ >]', 1), lambda x: 'html:' || x))) AS surface FROM pages")
-def surface_extract(spark, sf):
-    """Surfaces of a text, once each, by a table of patterns."""
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit("<(h1|title|article|footer|nav)[ >]"), F.lit(1)))
-    return table(spark, sf, "pages").select("page_id", F.explode(F.transform(found, lambda x: F.concat(F.lit("html:"), x))).alias("surface"))
-
-
-@query("ranked_documents", "SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 20 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN 15 ELSE 0 END + CASE WHEN length(text) > 5000 THEN -2 WHEN length(text) > 2000 THEN -1 ELSE 0 END AS score FROM documents) ORDER BY score DESC, doc_id LIMIT 50")
-def ranked_documents(spark, sf):
-    n = F.length("text")
-    score = F.when(F.col("lang") == "en", 20).otherwise(0) + F.when(F.lower("text").contains("license"), 15).otherwise(0) + F.when(n > 5000, -2).when(n > 2000, -1).otherwise(0)
-    top = table(spark, sf, "documents").select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
-
-
 @query("budget_greedy")
 def budget_greedy(spark, sf):
     """Per source the documents that fit a token budget; an oversized one is skipped."""
     d = table(spark, sf, "documents").select("source", "doc_id", S.estimated_tokens(F.col("text")).alias("tokens"))
     return X.greedy_budget(d, "source", ["doc_id"], "tokens", 20_000)
-
-
-@query("tier_assign")
-def tier_assign(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id", S.estimated_tokens(F.col("text")).alias("tokens"))
-    return X.tiers(d, "source", ["doc_id"], "tokens", ((1.0, 8_000), (0.35, 4_000), (0.10, 1_000)))
