@@ -161,3 +161,157 @@ def communities(pairs: DataFrame, scope: str, resolution: float = 1.0) -> DataFr
 
     kind = dict(pairs.dtypes)[scope]
     return pairs.select(scope, "a", "b", "weight").groupBy(scope).applyInPandas(run, f"{scope} {kind}, node_id string, community int")
+
+
+_C = ("class", "interface", "struct", "enum", "trait")
+_F = ("function", "method", "constructor")
+_WORTH = (*_C, "function", "constant", "type_alias", "macro", "module_doc", "file_doc")
+#: Fixed values of the graph's own rules, in order: seed types, direction, relations, limit, types of the neighbour (none: any),
+#: and for rules of two hops the relation and types that lead to them.
+GRAPH_RULES = [
+    (_C, "out", ("inheritance",), 3, (), None),
+    (_C, "out", ("implementation",), 2, (), None),
+    (_C, "out", ("creates",), 3, _WORTH, ("method", "constructor", "function")),
+    (_C, "out", ("instantiates",), 2, (), None),
+    (_C, "out", ("composition", "aggregation"), 2, _WORTH, ("field", "variable", "property", "attribute")),
+    (_C, "out", ("composition", "aggregation"), 3, (*_C, "type_alias"), None),
+    (_C, "out", ("alias_of",), 2, (), None),
+    (_C, "out", ("specializes",), 2, (), None),
+    (_C, "out", ("references",), 2, (*_C, "type_alias"), None),
+    (_C, "out", ("calls",), 2, ("function",), ("method", "constructor", "function")),
+    (_C, "in", ("inheritance",), 3, _C, None),
+    (("interface", "trait"), "in", ("implementation",), 3, _C, None),
+    (_C, "in", ("composition", "aggregation"), 2, (*_C, "function", "method"), None),
+    (_C, "in", ("creates", "instantiates"), 2, (*_C, "function", "method"), None),
+    (_C, "in", ("references",), 2, (*_C, "function", "method"), None),
+    (_F, "out", ("creates", "instantiates"), 3, (*_C, "function", "constant"), None),
+    (_F, "out", ("calls",), 2, ("function", "method"), None),
+    (_F, "out", ("references",), 2, (*_C, "type_alias", "constant"), None),
+    (_F, "in", ("calls",), 3, ("function", "method", *_C), None),
+    (_F, "in", ("references",), 2, (*_C, "function", "method"), None),
+    (("constant",), "out", ("calls",), 2, ("function",), None),
+    (("constant",), "out", ("references",), 1, (*_C, "type_alias"), None),
+    (("constant",), "in", ("references",), 2, (*_C, *_F, "constant"), None),
+    (("type_alias",), "out", ("alias_of",), 1, (), None),
+    (("type_alias",), "in", ("references",), 2, (*_C, "function"), None),
+    (("macro",), "out", ("references",), 3, (*_C, "function", "type_alias"), None),
+    (("macro",), "out", ("calls",), 2, ("function",), None),
+    (("macro",), "in", ("references", "calls"), 3, (*_C, "function", "method", "constant"), None),
+]
+#: Relations that the rule for other types leaves out.
+SKIPPED = ("defines", "imports", "decorates", "contains", "annotates", "exports", "overrides", "assigns", "returns", "parameter", "reads", "writes", "captures", "hides", "uses_type")
+#: Fixed values by language: further relations, types that are left out, priority of augmentation, grouping.
+HINTS = {
+    "cpp": (("defines_body", "specializes"), ("macro",), 2.0, "namespace"),
+    "c": (("defines_body", "specializes"), ("macro",), 2.0, "namespace"),
+    "c_sharp": (("implementation",), (), 1.2, "namespace"),
+    "csharp": (("implementation",), (), 1.2, "namespace"),
+    "go": (("defines_body",), (), 1.5, "package"),
+    "java": (("implementation", "annotates"), (), 1.2, "package"),
+    "javascript": (("exports",), ("constant",), 0.8, "module"),
+    "python": (("decorates",), (), 1.0, "module"),
+    "rust": (("implementation", "defines_body"), (), 1.8, "module"),
+    "typescript": (("exports",), (), 1.3, "module"),
+}
+
+
+def _arcs(edges: DataFrame) -> DataFrame:
+    pairs = edges.select("source_id", "target_id", "rel_type").distinct()
+    out = pairs.select(F.lit("out").alias("direction"), F.col("source_id").alias("node_id"), F.col("target_id").alias("other"), "rel_type")
+    return out.union(pairs.select(F.lit("in"), "target_id", "source_id", "rel_type"))
+
+
+def _rule_table(spark, rules: list[tuple], two: bool) -> DataFrame:
+    q = lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")" if xs else "CAST(NULL AS ARRAY<STRING>)"
+    rows = [f"({i}, '{t}', '{d}', '{r}', {n}, {q(types)}, {q(via or ())})" for i, (ts, d, rs, n, types, via) in enumerate(rules) if (via is not None) == two for t in ts for r in rs]
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS v(rule, seed_type, direction, rel_type, most, types, via)")
+
+
+def expanded_by_graph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, rules: list[tuple] = GRAPH_RULES, per_seed: int = 15) -> DataFrame:
+    """seed, other, rule, rank: per seed and rule the first ``limit`` neighbours (by id) of the wanted types, rules in order, each
+    neighbour once, at most ``per_seed``."""
+    spark = seeds.sparkSession
+    types = nodes.select(F.col("node_id").alias("other"), F.col("symbol_type").alias("other_type"))
+    own = seeds.select("node_id", F.col("symbol_type").alias("seed_type"))
+    arcs = _arcs(edges)
+    one = arcs.join(own, "node_id").join(F.broadcast(_rule_table(spark, rules, False)), ["seed_type", "direction", "rel_type"])
+    one = one.select(F.col("node_id").alias("seed"), "other", "rule", "most", "types")
+    member = edges.where("rel_type = 'defines'").select(F.col("source_id").alias("seed"), F.col("target_id").alias("member")).distinct()
+    member = member.join(own.withColumnRenamed("node_id", "seed"), "seed").join(nodes.select(F.col("node_id").alias("member"), F.col("symbol_type").alias("member_type")), "member")
+    two = member.join(F.broadcast(_rule_table(spark, rules, True)), "seed_type").where(F.array_contains("via", F.col("member_type")))
+    two = two.join(edges.select(F.col("source_id").alias("member"), F.col("target_id").alias("other"), "rel_type").distinct(), ["member", "rel_type"]).select("seed", "other", "rule", "most", "types")
+    found = one.union(two).where("seed <> other").join(types, "other").where("types IS NULL OR array_contains(types, other_type)").select("seed", "other", "rule", "most").distinct()
+    place = F.row_number().over(Window.partitionBy("seed", "rule").orderBy("other"))
+    found = found.withColumn("_r", place).where("_r <= most").groupBy("seed", "other").agg(F.min("rule").alias("rule"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("rule", "other"))
+    return found.withColumn("rank", place).where(F.col("rank") <= per_seed)
+
+
+def expanded_otherwise(seeds: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """seed, other, rel_type: for types without rules the first ``most`` out-edges whose relation is not left out."""
+    pairs = edges.where(~F.col("rel_type").isin(*SKIPPED)).select(F.col("source_id").alias("seed"), F.col("target_id").alias("other"), "rel_type").distinct()
+    own = pairs.join(seeds.select(F.col("node_id").alias("seed")), "seed", "left_semi")
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("other", "rel_type"))
+    return own.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
+
+
+def hint_relations(seeds: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
+    """seed, other, direction: by the seed's language its further relations, ``most`` in each direction."""
+    spark = seeds.sparkSession
+    table = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{lang}', '{r}')" for lang, (rels, *_) in HINTS.items() for r in rels) + " AS v(language, rel_type)")
+    own = _arcs(edges).join(seeds.select("node_id", F.lower("language").alias("language")), "node_id").join(F.broadcast(table), ["language", "rel_type"])
+    place = F.row_number().over(Window.partitionBy("node_id", "direction").orderBy("other", "rel_type"))
+    return own.withColumn("_r", place).where(F.col("_r") <= most).select(F.col("node_id").alias("seed"), "other", "direction").distinct()
+
+
+def worth_expanding(nodes: DataFrame) -> DataFrame:
+    """The nodes but those of types that their language leaves out."""
+    skipped = [f"{lang}:{t}" for lang, (_, types, *_) in HINTS.items() for t in types]
+    return nodes.where(~F.concat_ws(":", F.lower(F.coalesce("language", F.lit(""))), F.lower("symbol_type")).isin(*skipped))
+
+
+def hints(languages: DataFrame) -> DataFrame:
+    """language, relations, skipped, priority, grouping and fraction (0.3 * priority, within 0.1 and 0.6); unknown languages have
+    no relations, priority 1 and grouping by module."""
+    spark = languages.sparkSession
+    q = lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")" if xs else "CAST(array() AS ARRAY<STRING>)"
+    table = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{lang}', {q(r)}, {q(s)}, {p}D, '{g}')" for lang, (r, s, p, g) in HINTS.items()) + " AS v(language, relations, skipped, priority, grouping)")
+    rows = languages.select(F.lower("language").alias("language")).distinct().join(F.broadcast(table), "language", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.select("language", F.coalesce("relations", none).alias("relations"), F.coalesce("skipped", none).alias("skipped"), F.coalesce("priority", F.lit(1.0)).alias("priority"), F.coalesce("grouping", F.lit("module")).alias("grouping"))
+    return rows.withColumn("fraction", F.least(F.lit(0.6), F.greatest(F.lit(0.1), 0.3 * F.col("priority"))))
+
+
+def valid_expansions(found: DataFrame, nodes: DataFrame, boundary: DataFrame | None = None, macro: int | None = None) -> DataFrame:
+    """The rows of ``found(other)`` whose node is architectural, of a type worth expanding, no test, and within the boundary
+    (``boundary(node_id)``, or else a section)."""
+    from graphloom.functions import scalars as S
+
+    good = nodes.where(F.lower("symbol_type").isin(*S.EXPANSION_TYPES) & ~S.is_test_path(F.coalesce("rel_path", F.lit(""))))
+    if boundary is not None:
+        good = good.join(boundary.select("node_id"), "node_id", "left_semi")
+    elif macro is not None:
+        good = good.where(F.col("macro_cluster") == macro)
+    return found.join(good.select(F.col("node_id").alias("other")), "other", "left_semi")
+
+
+def page_neighbours(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 15) -> DataFrame:
+    """seed, other, weight: both directions' neighbours, the ``most`` heaviest of each seed, and of these the architectural ones."""
+    from graphloom.functions import scalars as S
+
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    both = edges.select(F.col("source_id").alias("seed"), F.col("target_id").alias("other"), weight.alias("weight")).union(edges.select("target_id", "source_id", weight))
+    own = both.join(seeds.select(F.col("node_id").alias("seed")), "seed", "left_semi").where("seed <> other").groupBy("seed", "other").agg(F.max("weight").alias("weight"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("weight"), "other"))
+    near = own.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
+    return near.join(nodes.where(S.is_architectural_type(F.col("symbol_type"))).select(F.col("node_id").alias("other")), "other", "left_semi")
+
+
+def framework_references(lost: DataFrame, nodes: DataFrame, index, most: int = 3) -> DataFrame:
+    """source_id, target_id: nodes whose text holds a name of ``lost(node_id, symbol_name)`` but that are not so named, the ``most`` best."""
+    from graphloom.operators.orphans import name_hits
+
+    names = lost.where(F.length("symbol_name") >= 2).select(F.col("node_id").alias("orphan"), F.col("symbol_name").alias("query"))
+    hits = name_hits(index, names, 64).join(names, "orphan").join(nodes.select("node_id", "symbol_name"), "node_id").where("symbol_name <> query")
+    place = F.row_number().over(Window.partitionBy("orphan").orderBy("rank"))
+    return hits.withColumn("_r", place).where(F.col("_r") <= most).select(F.col("orphan").alias("source_id"), F.col("node_id").alias("target_id"))

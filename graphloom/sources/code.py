@@ -9,20 +9,48 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LANGUAGES = {"py": "python", "java": "java", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "c": "c", "h": "cpp", "cpp": "cpp", "cs": "csharp", "rb": "ruby", "kt": "kotlin", "scala": "scala", "md": "markdown", "rst": "restructured_text", "txt": "text", "yml": "yaml", "yaml": "yaml", "json": "json", "toml": "toml"}
-EXCLUDED = r"(^|/)(\.git|node_modules|__pycache__|\.venv|venv|dist|build|target|vendor)/"
+#: Languages of file endings.
+LANGUAGES = {
+    "py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "tsx": "typescript", "java": "java", "go": "go",
+    "cs": "csharp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "c++": "cpp", "h": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "c": "c",
+    "rb": "ruby", "php": "php", "rs": "rust", "kt": "kotlin", "scala": "scala", "swift": "swift", "dart": "dart", "r": "r", "m": "objective_c",
+    "sh": "bash", "bash": "bash", "zsh": "bash", "ps1": "powershell", "psm1": "powershell", "bat": "batch", "cmd": "batch",
+    "html": "html", "htm": "html", "css": "css", "scss": "scss", "sass": "sass", "less": "less", "sql": "sql",
+    "yaml": "yaml", "yml": "yaml", "json": "json", "xml": "xml", "wsdl": "xml", "xsd": "xml", "toml": "toml", "cfg": "config", "conf": "config",
+    "dockerfile": "dockerfile", "gradle": "groovy", "kts": "kotlin_script", "proto": "protobuf", "tf": "terraform", "tfvars": "terraform", "hcl": "hcl", "mod": "gomod",
+    "md": "markdown", "rst": "restructured_text", "txt": "text",
+}
+#: Kinds of files that go by their names.
+NAMES = {
+    "Makefile": "build_config", "makefile": "build_config", "GNUmakefile": "build_config", "CMakeLists.txt": "build_config", "Justfile": "build_config",
+    "Rakefile": "build_config", "BUILD": "build_config", "WORKSPACE": "build_config",
+    "Dockerfile": "infrastructure", "Containerfile": "infrastructure", "Vagrantfile": "infrastructure", "Procfile": "infrastructure",
+    "Gemfile": "config", "Pipfile": "config", "CODEOWNERS": "config", ".editorconfig": "config", ".gitignore": "config", ".env": "config",
+    "Jenkinsfile": "script", "LICENSE": "plaintext", "CHANGELOG": "plaintext", "CONTRIBUTING": "plaintext", "AUTHORS": "plaintext",
+}
+EXCLUDED = r"(^|/)(\.git|\.svn|\.hg|node_modules|__pycache__|\.pytest_cache|\.mypy_cache|\.tox|\.eggs|\.idea|\.vscode|\.vs|\.venv|venv|dist|build|target|vendor|\.coverage|\.cache)/|\.(class|jar|war)$"
 
 
 def language(path: Column) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.element_at(known, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("unknown"))
+    """By the file's name, or else by its ending."""
+    known = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    named = F.element_at(known(NAMES), F.regexp_extract(path, "([^/]*)$", 1))
+    return F.coalesce(named, F.element_at(known(LANGUAGES), F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("unknown"))
 
 
-def files(spark: SparkSession, root: str, max_bytes: int = 10 << 20) -> DataFrame:
-    """rel_path, language and content of the files below a folder; excluded and large ones are never read."""
+def files(spark: SparkSession, root: str, max_bytes: int = 10 << 20, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """rel_path, language, content and skipped of the files below a folder but excluded ones, of the ``allowed`` endings if given.
+
+    Files larger than ``max_bytes`` are listed with ``skipped`` true and without content, which is not read (the length is pushed
+    down); contents of excluded files are read by their tasks and dropped there."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", f"^.*?{root.split(':')[-1].rstrip('/')}/", "")
-    return found.where(F.col("length") <= max_bytes).select(rel.alias("rel_path"), F.col("content").cast("string").alias("content")).where(~F.col("rel_path").rlike(EXCLUDED)).withColumn("language", language(F.col("rel_path")))
+    small = found.where(F.col("length") <= max_bytes).select(rel.alias("rel_path"), F.col("content").cast("string").alias("content"), F.lit(False).alias("skipped"))
+    large = found.where(F.col("length") > max_bytes).select(rel.alias("rel_path"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("skipped"))
+    rows = small.unionByName(large).where(~F.col("rel_path").rlike(EXCLUDED))
+    if allowed:
+        rows = rows.where(F.lower(F.regexp_extract("rel_path", r"(\.[^./]+)$", 1)).isin(*allowed))
+    return rows.withColumn("language", language(F.col("rel_path")))
 
 
 def _symbols(path: str, text: str) -> Iterator[tuple]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.shared import discard, written
+
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Count and sum per event type and tumbling window; on a stream rows later than ``late`` are dropped, state is bounded."""
@@ -23,16 +25,27 @@ def latest(rows: DataFrame, key: str, order: list) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def upsert_stream(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """Keep a Parquet snapshot at ``path`` by key: each batch replaces the rows it has.  Snapshots are versioned by
-    batch, so a batch that runs again writes the same version."""
+#: Parts that a keyed snapshot is kept in; a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def upsert_stream(stream: DataFrame, path: str, key: str, checkpoint: str, buckets: int = BUCKETS):
+    """Keep a Parquet snapshot at ``path`` by key: each batch replaces the rows it has, in the buckets that hold its keys.
+
+    A bucket's new rows are written aside before they replace the old ones; a batch that runs again gives the same rows."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if number:
-            old = spark.read.parquet(f"{path}/v{number - 1}")
-            new = old.join(new, key, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        new = written(batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "batch")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        rows = new
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            old = spark.read.parquet(path).where(F.col("bucket").isin(*touched))
+            rows = written(old.join(new.select("bucket", key), ["bucket", key], "left_anti").unionByName(new), "merged")
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        discard(new)
+        if rows is not new:
+            discard(rows)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
