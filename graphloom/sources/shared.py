@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Paths made so far in each open scope, the innermost last.
+_scopes: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def tidied(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written; all other tables made on the way are deleted."""
+    _scopes.append([])
+    try:
+        found = make()
+    finally:
+        made = _scopes.pop()
+    out = written(found, name)
+    for path in made:
+        removed(spark, path)
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
