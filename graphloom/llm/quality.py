@@ -2,7 +2,8 @@
 
 Edge cases: a null or empty text has no words and fails the base rule; rows are independent, so ties, repeated
 rows and extra columns change nothing; with no usable labelled rows of both classes the model gives every
-document probability 1 and only the base rule decides.
+document probability 1 and only the base rule decides; a carried column that bears the name of an output comes back
+with underscores before it; very long texts are counted whole, one at a time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import textcore as tc
-from graphloom.llm.cluster import prepare
+from graphloom.llm.cluster import free_names, prepare
 
 #: Labelled rows that the classifier is fitted on, at most; chosen by the hash of doc_id.
 MAX_LABELLED = 1000
@@ -133,48 +134,76 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("label", pa.int32()), ("slots", pa.binary()), ("values", pa.binary())]))
 
 
-def _descend(x: np.ndarray, y: np.ndarray, steps: int, decay: float) -> tuple[np.ndarray, float]:
+class _Rows:
+    """A sparse matrix by rows."""
+
+    def __init__(self, slots: list[np.ndarray], values: list[np.ndarray], width: int):
+        self.width, self.counts = width, np.array([len(x) for x in slots])
+        self.slots = np.concatenate([*slots, np.zeros(0, np.int32)]).astype(np.int32)
+        self.values = np.concatenate([*values, np.zeros(0, np.float32)]).astype(np.float64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return _sums(self.values * w[self.slots], self.bounds)
+
+    def summed(self, by: np.ndarray) -> np.ndarray:
+        """For each column the sum of its values, each times its row's number."""
+        return np.bincount(self.slots, self.values * np.repeat(by, self.counts), self.width)
+
+
+def _descend(x: _Rows, y: np.ndarray, steps: int, decay: float) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam over all rows, classes weighted equally."""
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
+    w, b = np.zeros(x.width), 0.0
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        error = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
-        g = np.concatenate([x.T @ error + decay * w, [error.sum()]])
+        error = weight * (1 / (1 + np.exp(-np.clip(x.times(w) + b, -30, 30))) - y)
+        g = np.concatenate([x.summed(error) + decay * w, [error.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, b = (w - move[:-1]).astype(np.float32), b - move[-1]
+        w, b = w - move[:-1], b - move[-1]
     return w, float(b)
 
 
-def fit_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> QualityModel:
-    """Fit on at most ``max_labelled`` labelled rows; three quarters fit the weights, the rest the calibration."""
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the model of all rows (label, slots, values)."""
     families = 2 + len(_GRAMS)
+    rows = [r for batch in batches for r in zip(batch.column("slots").to_pylist(), batch.column("values").to_pylist(), batch.column("label").to_pylist(), strict=True)]
+    rows.sort()  # not as executors return them
+    order = np.random.default_rng(7).permutation(len(rows))
+    cut = len(rows) * 3 // 4  # the first rows fit the weights, the rest the calibration
+    y = np.array([rows[i][2] for i in order], np.float64)
+    weights, b, slope, shift = np.zeros(families << _BITS, np.float32), 0.0, 0.0, 30.0
+    if len(set(y[:cut].tolist())) == 2:
+        slots, values = ([np.frombuffer(rows[i][k], kind) for i in order] for k, kind in ((0, np.int32), (1, np.float32)))
+        every = _Rows(slots, values, families << _BITS)
+        scale = 1 / np.sqrt(every.summed(np.ones(len(rows))) / len(rows) + 1e-5)
+        values = [v * scale[k] for k, v in zip(slots, values, strict=True)]
+        w, b = _descend(_Rows(slots[:cut], values[:cut], every.width), y[:cut], 150, 1e-5)
+        slope, shift = 1.0, 0.0
+        if len(set(y[cut:].tolist())) == 2:
+            margin = _Rows(slots[cut:], values[cut:], every.width).times(w) + b
+            spread = float(margin.std()) or 1.0
+            one = [np.zeros(1, np.int32)] * len(margin)
+            (s,), shift = _descend(_Rows(one, list((margin / spread).reshape(-1, 1)), 1), y[cut:], 200, 1e-3)
+            slope, shift = float(s) / spread, float(shift)
+        weights = (w * scale).astype(np.float32)
+    yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [b], "slope": [slope], "shift": [shift]})
+
+
+def fit_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> QualityModel:
+    """Fit on at most ``max_labelled`` labelled rows, in one task; three quarters fit the weights, the rest the calibration."""
     chosen = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).where("_id IS NOT NULL AND label IS NOT NULL").groupBy("_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     joined = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     prepare(documents.sparkSession)
-    rows = joined.select("label", "text").mapInArrow(_features, "label int, slots binary, values binary").collect()
-    rows.sort(key=lambda r: (bytes(r.slots), bytes(r["values"]), r.label))  # not as executors return them
-    order = np.random.default_rng(7).permutation(len(rows))
-    cut = len(rows) * 3 // 4  # the first rows fit the weights, the rest the calibration
-    y = np.array([rows[i].label for i in order], np.float32)
-    empty = QualityModel(np.zeros((families, 1 << _BITS), np.float32), 0.0, 0.0, 30.0)
-    if len(set(y[:cut].tolist())) < 2:
-        return empty
-    x = np.zeros((len(rows), families << _BITS), np.float32)
-    for k, i in enumerate(order):
-        x[k, np.frombuffer(rows[i].slots, np.int32)] = np.frombuffer(rows[i]["values"], np.float32)
-    del rows
-    scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
-    x *= scale
-    w, b = _descend(x[:cut], y[:cut], 150, 1e-5)
-    slope, shift = 1.0, 0.0
-    if len(set(y[cut:].tolist())) == 2:
-        margin = (x[cut:] @ w + b).reshape(-1, 1).astype(np.float32)
-        spread = float(margin.std()) or 1.0
-        (s,), shift = _descend(margin / spread, y[cut:], 200, 1e-3)
-        slope, shift = float(s) / spread, float(shift)
-    return QualityModel((w * scale).reshape(families, -1).astype(np.float32), b, slope, shift)
+    rows = joined.select("label", "text").mapInArrow(_features, "label int, slots binary, values binary")
+    # rows that repeat a labelled doc_id count too, one of each text
+    rows = rows.dropDuplicates().coalesce(1).mapInArrow(_fitted, "weights binary, bias double, slope double, shift double")
+    got = rows.first()
+    families = 2 + len(_GRAMS)
+    if got is None:
+        return QualityModel(np.zeros((families, 1 << _BITS), np.float32), 0.0, 0.0, 30.0)
+    return QualityModel(np.frombuffer(got.weights, np.float32).reshape(families, -1), got.bias, got.slope, got.shift)
 
 
 _COLUMNS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long")]
@@ -185,31 +214,33 @@ def quality_rules(documents: DataFrame, model: QualityModel, min_probability: fl
     spark = documents.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # 4 families x 4096 slots: 64 KB at any size
-    frame = documents.select(*carry, *([] if "text" in carry else ["text"]))
-    kinds = dict(frame.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"{c} {k}" for c, k in _COLUMNS] + ["base_failed boolean", "probability double", "kept boolean"])
+    own = [c for c, _ in _COLUMNS] + ["base_failed", "probability", "kept"]
+    names = [f"_c{i}" for i in range(len(carry))]
+    text = names[carry.index("text")] if "text" in carry else "_text"
+    frame = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)), *([] if "text" in carry else [F.col("text").alias("_text")]))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in names] + [f"{c} {k}" for c, k in _COLUMNS] + ["base_failed boolean", "probability double", "kept boolean"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        model = shared.value
         for batch in batches:
             parts: dict[str, list] = {c: [] for c, _ in _COLUMNS}
             margin = []
-            for chunk in tc.chunks(batch.column("text")):
+            for chunk in tc.chunks(batch.column(text)):
                 found = tc.words(chunk)
                 prefix = chunk.prefix_hash()
                 hashes = tc.word_hashes(chunk, found, prefix=prefix)
                 for c, v in base_counts(chunk, found, hashes, prefix).items():
                     parts[c].append(v)
-                margin.append(margins(own, chunk, found, hashes, prefix))
+                margin.append(margins(model, chunk, found, hashes, prefix))
             if not batch.num_rows:
                 continue
             n = {c: np.concatenate(v).astype(np.int64) for c, v in parts.items()}
             failed = (n["n_words"] < 10) | (100 * n["n_repeat_words"] > 20 * n["n_words"])
-            p = own.probability(np.concatenate(margin))
-            arrays = [batch.column(c) for c in carry] + [pa.array(n[c]) for c, _ in _COLUMNS] + [pa.array(failed), pa.array(p), pa.array(~failed & (p >= min_probability))]
-            yield pa.RecordBatch.from_arrays(arrays, [*carry, *(c for c, _ in _COLUMNS), "base_failed", "probability", "kept"])
+            p = model.probability(np.concatenate(margin))
+            arrays = [batch.column(c) for c in names] + [pa.array(n[c]) for c, _ in _COLUMNS] + [pa.array(failed), pa.array(p), pa.array(~failed & (p >= min_probability))]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, *own])
 
-    return frame.mapInArrow(scored, schema)
+    return frame.mapInArrow(scored, schema).toDF(*free_names(carry, own), *own)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
