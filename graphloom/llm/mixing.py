@@ -1,8 +1,10 @@
 """Mixing sources to target weights by systematic sampling.
 
 Edge cases: a null text has size 0; the null source is a source of its own, last in order; repeated rows are
-documents of their own; with a doc_id repeated within a source equal rows may swap copies, which changes no
-row's values as a set; a source of size 0 has target 0 and gives nothing; an empty table gives an empty mix.
+documents of their own; of rows with one source, size and doc_id (null ones, say) the order is that of hashes of their
+texts and carried columns, so that reruns agree; a source of size 0 has target 0 and gives nothing; an empty table
+gives an empty mix; very long texts count whole; a carried column that bears the name of an output comes back with
+underscores before it.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.cluster import free_names
 from graphloom.llm.ordered import ranked
 
 WEIGHTS = (5, 2, 1)
@@ -50,8 +53,14 @@ def mixed(documents: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int,
     that neighbours are interchangeable and the words taken stay near the target; the prefix sum of expected
     copies, moved by one random offset of the source, gives a document a copy for each integer it crosses.
     """
-    sized = documents.select("doc_id", "source", *carry, text_size().alias("size"))
-    placed = ranked(sized, "source", ["size", "doc_id"], name="mix")
+    own = ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
+    names = [f"_c{i}" for i in range(len(carry))]
+    carried = [F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)]
+    sized = documents.select("doc_id", "source", *carried, text_size().alias("size"), F.xxhash64("text").alias("_text"))
+    # a map has no hash
+    plain = [F.to_json(F.struct(n)) if "map<" in k else F.col(n) for n, k in sized.dtypes if n in names]
+    sized = sized.withColumn("_tie", F.xxhash64("_text", *plain)).drop("_text")
+    placed = ranked(sized, "source", ["size", "doc_id", "_tie"], name="mix")
     targets = source_targets(placed.select("source", "size"), weights, max_repeats).withColumnRenamed("source", "_source")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00null")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     # a row per source: small, and joined as a hash table or, if very many, by a shuffle, as the planner sees fit
@@ -59,7 +68,8 @@ def mixed(documents: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int,
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("u") + (F.col("rank") + 1) * F.col("rate")) - F.floor(F.col("u") + F.col("rank") * F.col("rate"))
     out = joined.withColumn("u", offset).withColumn("rate", rate).withColumn("copies", F.least(F.lit(max_repeats), crossed).cast("long"))
-    return out.select("doc_id", "source", *carry, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = out.select("doc_id", "source", *names, *own[2:6], (F.col("copies") * F.col("size")).alias("taken"))
+    return out.toDF("doc_id", "source", *free_names(carry, own), *own[2:])
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
