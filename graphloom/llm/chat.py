@@ -4,17 +4,18 @@ Each turn is written as ``<|im_start|>role\\ntext<|im_end|>\\n``.  In texts a ba
 ``<|`` (one more where backslashes already stand between), so no control string can appear in one, and taking one
 backslash away gives the text back; roles are percent-encoded.
 
-A conversation's turns are cut where the prefix sum of their tokens crosses a multiple of ``STRIDE``: a window holds
-whole turns.  It opens with the system turn (the first turn, if its role is ``system``) and the last ``HISTORY`` turns
-before it, which are repeated as context; only assistant turns of its own are under the loss mask, so each is a
-target once.
+The prefix sum of a conversation's tokens chooses the windows: turns that lie within one multiple of ``STRIDE`` are a window,
+and a turn that reaches over a multiple is one by itself.  So the own turns of a window have at most ``STRIDE`` tokens (but a
+longer turn, which is alone).  It opens with the system turn (the first turn, if its role is ``system``) and at most ``HISTORY`` turns
+of at most ``HISTORY_TOKENS`` tokens before it, which are repeated as context; only assistant turns of its own are under the loss
+mask, so each is a target once.
 
 No step needs a conversation in one task: ranks and prefix sums come from range partitions, and context turns are
 found by joins on (conversation, rank).
 
 Edge cases: a null text or role is empty; turns order by turn, role and text, nulls first, repeated rows each count;
-the null conv_id is a conversation of its own; a turn longer than a window is a window of its own; extra columns are
-ignored; an empty table gives an empty result.
+the null conv_id is a conversation of its own; a turn longer than a window is a window of its own and is not cut, nor is a long
+system turn; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.ordered import ranked
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Tokens (a quarter of the UTF-8 bytes, rounded up, and the markers' 4) after which a new window begins.
+#: Tokens (a quarter of the UTF-8 bytes, rounded up, and the markers' 4) of a window's own turns.
 STRIDE = 1024
-#: Turns before a window that it repeats.
+#: Turns before a window that it repeats, at most, and their tokens.
 HISTORY = 2
+HISTORY_TOKENS = 512
 
 
 def escaped(text: Column) -> Column:
@@ -39,8 +41,8 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
 
 
-def chat_windows(conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, n_context, text and loss (code-point spans of text), a row per window.
+def chat_windows(conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
+    """conv_id, window, n_context, tokens (own, repeated), text and loss (code-point spans of text), a row per window.
 
     ``n_context`` turns at the beginning are repeated context; the rest are the window's own.
     """
@@ -51,22 +53,25 @@ def chat_windows(conversations: DataFrame, stride: int = STRIDE, history: int =
     placed = placed.select(
         "conv_id",
         "rank",
-        F.floor(F.col("before") / stride).alias("window"),
+        (2 * F.floor(F.col("before") / stride) + F.when(F.floor((F.col("before") + F.col("tokens") - 1) / stride) > F.floor(F.col("before") / stride), 1).otherwise(0)).alias("window"),
+        "before",
+        "tokens",
         F.concat(F.lit(START), body, F.lit(END)).alias("piece"),
         (F.col("role") == "assistant").alias("target"),
         (F.length(F.url_encode("role")) + len(START) + 1).alias("head"),
         ((F.col("rank") == 0) & (F.col("role") == "system")).alias("system"),
     )
-    starts = placed.groupBy(F.col("conv_id").alias("_conv"), F.col("window").alias("_window")).agg(F.min("rank").alias("_first"))
-    own = placed.select("conv_id", "window", "rank", "piece", "target", "head", F.lit(False).alias("context"))
-    as_context = lambda df: df.select("conv_id", F.col("_window").alias("window"), "rank", "piece", F.lit(False).alias("target"), "head", F.lit(True).alias("context"))
+    starts = placed.groupBy(F.col("conv_id").alias("_conv"), F.col("window").alias("_window")).agg(F.min("rank").alias("_first"), F.min("before").alias("_before"))
+    own = placed.select("conv_id", "window", "rank", "piece", "target", "head", "tokens", F.lit(False).alias("context"))
+    as_context = lambda df: df.select("conv_id", F.col("_window").alias("window"), "rank", "piece", F.lit(False).alias("target"), "head", "tokens", F.lit(True).alias("context"))
     of = F.col("conv_id").eqNullSafe(F.col("_conv"))
     repeated = placed.withColumn("next", F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + history))) if history else placed.limit(0).withColumn("next", F.lit(0))
-    repeated = as_context(repeated.join(starts, of & (F.col("next") == F.col("_first"))))
+    near = F.col("_before") - F.col("before") <= history_tokens
+    repeated = as_context(repeated.join(starts, of & (F.col("next") == F.col("_first"))).where(near))
     # windows whose own turns and history do not reach back to the first turn
-    system = as_context(placed.where("system").join(starts.where(F.col("_first") > history), of))
+    system = as_context(placed.where("system").join(starts.where("_first > 0"), of).where(~(near & (F.col("_first") <= history))))
     rows = own.unionByName(repeated).unionByName(system)
-    grouped = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("rank", "piece", "target", "head", "context"))).alias("turns"))
+    grouped = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("rank", "piece", "target", "head", "context", "tokens"))).alias("turns"))
     # a turn's place in the window is the length of what stands before it
     ends = F.expr("transform(turns, (t, i) -> aggregate(slice(turns, 1, i), 0, (n, x) -> n + char_length(x.piece)))")
     grouped = grouped.withColumn("at", ends)
@@ -75,6 +80,7 @@ def chat_windows(conversations: DataFrame, stride: int = STRIDE, history: int =
         "conv_id",
         "window",
         F.expr("size(filter(turns, t -> t.context))").alias("n_context"),
+        F.expr("named_struct('own', aggregate(filter(turns, t -> NOT t.context), 0L, (n, t) -> n + t.tokens), 'repeated', aggregate(filter(turns, t -> t.context), 0L, (n, t) -> n + t.tokens))").alias("tokens"),
         F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("text"),
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss"),
     )
@@ -132,13 +138,14 @@ WITH given AS (
 ), sized AS (
   SELECT *, CAST(ceil(strlen(text) / 4.0) + 4 AS BIGINT) AS tokens, 24 + length(url_encode(role)) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS chars FROM given
 ), placed AS (
-  SELECT *, row_number() OVER o - 1 AS rank, CAST(coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 1024 AS win
-  FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  SELECT *, 2 * (before // 1024) + ((before + tokens - 1) // 1024 > before // 1024)::INT AS win FROM (
+    SELECT *, row_number() OVER o - 1 AS rank, CAST(coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+    FROM sized WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 ), starts AS (
-  SELECT conv_id, win, min(rank) AS first FROM placed GROUP BY ALL
+  SELECT conv_id, win, min(rank) AS first, min(before) AS opens FROM placed GROUP BY ALL
 ), repeated AS (
   SELECT s.conv_id, sum(p.chars) AS chars FROM starts s JOIN placed p ON p.conv_id IS NOT DISTINCT FROM s.conv_id
-  WHERE (p.rank < s.first AND p.rank >= s.first - 2) OR (p.rank = 0 AND p.role = 'system' AND s.first > 2) GROUP BY ALL
+  WHERE (p.rank < s.first AND p.rank >= s.first - 2 AND s.opens - p.before <= 512) OR (p.rank = 0 AND p.role = 'system' AND s.first > 0 AND NOT (s.first <= 2 AND s.opens - p.before <= 512)) GROUP BY ALL
 )
 SELECT p.conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rank)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
