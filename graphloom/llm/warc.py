@@ -9,7 +9,8 @@ and carry no payload.  Payloads are compared by SHA-1, as archives do.
 
 Edge cases: null html is the empty payload (equal to other empty ones); a null url is written as empty; rows that repeat
 the largest page_id of a payload are all responses; a null page_id ranks below every number and is written as a
-response of its own; extra columns are ignored; an empty table writes nothing and gives an empty result.
+response of its own; extra columns are ignored; an empty table writes nothing and gives an empty result; very long pages
+are one record each.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ LEAST_REVISIT = 0
 FILE_BYTES = 32 << 20
 TRAINED_BYTES = 4 << 20
 DICTIONARY_BYTES = 32 << 10
+#: Payloads of more pages than this do not meet their pages in one task; so many of them are broadcast (48 MB), more are joined.
+HOT_PAYLOAD = 2000
+BROADCAST_PAYLOADS = 1_000_000
 _NAMESPACE = 0x6C6C6D2D776172630000000000000000
 _DATE = "2024-01-01T00:00:00Z"  # fixed, so that reruns write equal files
 
@@ -46,7 +50,15 @@ def record_id(page_id: int) -> str:
     return f"<urn:uuid:{uuid.UUID(int=_NAMESPACE | (page_id & (2**64 - 1)))}>"
 
 
-def page_of(urn: str) -> int:
+def nameless_id(file: str, place: int) -> str:
+    """The URN of the record without a page_id at a place of a file."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.UUID(int=_NAMESPACE), f'{file}#{place}')}>"
+
+
+def page_of(urn: str) -> int | None:
+    """The page_id in a URN; None if it holds none."""
+    if uuid.UUID(urn.removeprefix("<urn:uuid:").removesuffix(">")).version == 5:
+        return None
     n = uuid.UUID(urn.removeprefix("<urn:uuid:").removesuffix(">")).int
     if n >> 64 << 64 != _NAMESPACE:
         raise ValueError(f"not a record of these archives: {urn}")
@@ -58,15 +70,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
-    """The bytes of a response record, or of a revisit record (headers alone) if ``refers_to`` is given."""
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, nameless: str = "") -> bytes:
+    """The bytes of a response record, or of a revisit record (headers alone) if ``refers_to`` is given; without a
+    page_id its id is ``nameless``."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     uri = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id) if page_id is not None else '<urn:uuid:00000000-0000-0000-0000-000000000000>'}",
+        f"WARC-Record-ID: {record_id(page_id) if page_id is not None else nameless}",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
@@ -110,15 +123,17 @@ def read_archive(data: bytes) -> Iterator[dict]:
     raw = data[8 : 8 + size]
     known = zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 24) if raw[:4] == b"\x28\xb5\x2f\xfd" else raw
     decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(known))
-    at = 8 + size
+    at, whole = 8 + size, memoryview(data)
     while at < len(data):
-        frame = decompressor.decompressobj()
-        parts = []
-        view = memoryview(data)[at:]
-        parts.append(frame.decompress(view))
-        if not frame.eof:
-            raise ValueError("a record's frame is cut short")
-        at = len(data) - len(frame.unused_data)
+        # what is fed beyond a frame's end is copied, so little is fed at once, and more only to long frames
+        frame, parts, step = decompressor.decompressobj(), [], 1 << 13
+        while not frame.eof:
+            if at >= len(data):
+                raise ValueError("a record's frame is cut short")
+            fed = whole[at : at + step]
+            parts.append(frame.decompress(fed))
+            at += len(fed) - len(frame.unused_data)
+            step *= 2
         yield _parsed(b"".join(parts))
 
 
@@ -143,7 +158,7 @@ def _parsed(raw: bytes) -> dict:
         raise ValueError("a revisit must refer to a record and have no payload")
     own = fields["warc-record-id"]
     return {
-        "page_id": None if own.endswith(":00000000-0000-0000-0000-000000000000>") else page_of(own),
+        "page_id": page_of(own),
         "url": fields["warc-target-uri"],
         "type": kind,
         "length": length,
@@ -163,21 +178,29 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     html = F.coalesce("html", F.lit("")).alias("html")
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html)
     keyed = named.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    first = keyed.where(F.octet_length("html") >= least).groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL").select("sha", "response")
-    joined = keyed.join(written(first, "responses"), "sha", "left")
+    first = keyed.where(F.octet_length("html") >= least).groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL")
+    first = written(first, "responses")
+    # payloads of very many pages (at most one in HOT_PAYLOAD of all) are looked up first; the rest meet by digest
+    hot = first.where(F.col("n") > HOT_PAYLOAD).select(F.col("sha").alias("_hot"), F.col("response").alias("_response"))
+    joined = keyed.join(F.broadcast(hot) if hot.count() <= BROADCAST_PAYLOADS else hot, F.col("sha") == F.col("_hot"), "left")
+    apart = F.when(F.col("_hot").isNull(), F.col("sha")).otherwise(F.concat("sha", F.unhex(F.hex(F.xxhash64("page_id", "url")))))
+    joined = joined.withColumn("_key", apart).join(first.select(F.col("sha").alias("_key"), "response"), "_key", "left").withColumn("response", F.coalesce("_response", "response"))
     refers = F.when((F.octet_length("html") >= least) & F.col("page_id").isNotNull() & (F.col("page_id") < F.col("response")), F.col("response"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, part, held, size = TaskContext.get().partitionId(), 0, [], 0
+        # files of another attempt at the same task have other names
+        task, part, held, size = TaskContext.get().taskAttemptId(), 0, [], 0
+
+        name_of = lambda: f"{folder}/pages-{task:08d}-{part:05d}.warc.zst"
 
         def flush() -> pa.RecordBatch:
-            name = f"{folder}/pages-{task:06d}-{part:05d}.warc.zst"
+            name = name_of()
             store.put(name, archive(held))
             return pa.RecordBatch.from_pydict({"file": [name], "n": [len(held)]})
 
         for batch in batches:
             for page_id, url, text, target in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                held.append(record(page_id, url, text.encode(), target))
+                held.append(record(page_id, url, text.encode(), target, "" if page_id is not None else nameless_id(name_of(), len(held))))
                 size += len(held[-1])
                 if size >= FILE_BYTES:
                     yield flush()
