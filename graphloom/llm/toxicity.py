@@ -1,17 +1,19 @@
 """Toxicity by maximum-scoring segments of token log-odds, calibrated as extreme values.
 
-1. Counts of every token (once a text) over the labelled training rows (at most ``MAX_TRAINING``) give log-odds of toxic against clean text with an informative
-   Dirichlet prior (Monroe et al., "Fightin' Words"); tokens whose odds are significant have the near end of their confidence
-   interval as their score.
+1. Counts of every token (once a text) over four fifths of the labelled training rows (of at most ``MAX_TRAINING``) give
+   log-odds of toxic against clean text with an informative Dirichlet prior (Monroe et al., "Fightin' Words"); every token
+   whose odds are significant has the near end of its confidence interval as its score.
 2. A text is the sequence of its tokens' scores less a drift.  Ruzzo and Tompa's linear scan finds all its maximal
    scoring segments: the toxic passages.
 3. Under clean text a segment's score follows an extreme-value law (Karlin and Altschul): a text of m tokens has
    E = K m exp(-lambda S) segments of score S by chance.  lambda comes from the clean token distribution, K from
-   clean training rows; a logistic curve over the evidence turns it into a probability.
+   clean rows of the fifth that the odds were not learnt from, as does a logistic curve that turns the evidence into a
+   probability.
 
 Only texts are inputs of a score.  Edge cases: null and empty texts have no segment and the score of no evidence;
 labels that are null, of unknown documents or missing altogether are left out, and without both classes every score
-is 0; repeated rows are scored alike; extra columns are ignored; an empty table gives an empty result.
+is 0; repeated rows are scored alike; extra columns are ignored; an empty table gives an empty result; very long texts are
+scored whole, one at a time.
 """
 
 from __future__ import annotations
@@ -26,10 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import textcore as tc
-from graphloom.llm.cluster import prepare
+from graphloom.llm.cluster import prepare, written
 
-#: Scored tokens, those with the largest z, at most; also the size of what is broadcast.
-MAX_TOKENS = 1 << 16
 #: Weight of the Dirichlet prior, as a share of all counts.
 PRIOR = 0.02
 LEAST_Z = 3.0
@@ -38,8 +38,10 @@ HIGHEST = 6.0
 MOST_EVIDENCE = 30.0
 #: Labelled rows that are learnt from, at most (chosen by the hash of doc_id): small enough to broadcast to the texts.
 MAX_TRAINING = 500_000
-#: Training rows that the calibration curve is fitted on, at most.
+#: Labelled rows that the calibration curve is fitted on, at most.
 MAX_CALIBRATION = 20_000
+#: Of the labelled rows one in so many is kept for calibration.
+CALIBRATION_SHARE = 5
 _COUNTED_AT_ONCE = 1 << 20
 _U = np.uint64
 #: Tokens are runs of letters, digits and bytes of other alphabets.
@@ -157,26 +159,45 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _measured(texts: DataFrame, model: ToxicityModel, measure) -> list[tuple[bool, int, float]]:
+    """toxic, number of tokens and a number that ``measure`` makes of the segments, for each of a bounded set of rows."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, out = [], []
+            for _, m, segments, _, _ in _segmented(batch.column("text"), shared.value):
+                n.append(m)
+                out.append(measure(segments, m))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(n, pa.int64()), pa.array(out, pa.float64())], ["toxic", "n", "x"])
+
+    rows = texts.mapInArrow(run, "toxic boolean, n long, x double").toArrow()
+    return sorted(zip(*(rows.column(c).to_pylist() for c in ("toxic", "n", "x")), strict=True))
+
+
 def fit_toxicity(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     spark = documents.sparkSession
     prepare(spark)
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(training()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING)
-    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    known = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING), "labels")
+    apart = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(CALIBRATION_SHARE)) == 0
+    rows = documents.select("doc_id", "text").join(F.broadcast(known.where(~apart)), "doc_id")
     counts = rows.select("toxic", "text").mapInArrow(_counts, "token long, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     totals = counts.agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     prior, mass = PRIOR * (F.col("clean") + F.col("toxic")), PRIOR * (F.col("c") + F.col("t"))
     odds = lambda y, n: F.log((F.col(y) + prior) / (F.col(n) + mass - F.col(y) - prior))
     scored = counts.join(F.broadcast(totals.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
     scored = scored.where("c > 0 AND t > 0").withColumn("odds", odds("toxic", "t") - odds("clean", "c")).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
-    top = scored.where((F.abs("z") >= LEAST_Z) & (F.col("clean") + F.col("toxic") >= 5)).orderBy(F.desc(F.abs("z")), "token").limit(MAX_TOKENS).select("token", "odds", "z", "clean", "c").collect()
-    if not top:
+    # no more than the training rows' distinct tokens, whose number their bound bounds
+    top = scored.where(F.abs("z") >= LEAST_Z).select("token", (F.col("odds") * (1 - 1.96 / F.abs("z"))).alias("score"), "clean", "c").orderBy("token").toArrow()
+    if not top.num_rows:
         return ToxicityModel(np.zeros(0, _U), np.zeros(0))
-    token = np.array([r.token for r in top], np.int64).view(_U)
+    token, score, clean_n, c = (top.column(x).to_numpy() for x in ("token", "score", "clean", "c"))
+    token = token.view(_U)
     order = np.argsort(token)
-    model = ToxicityModel(token[order], np.clip(np.array([r.odds * (1 - 1.96 / abs(r.z)) for r in top])[order], -HIGHEST, HIGHEST))
+    model = ToxicityModel(token[order], np.clip(score[order], -HIGHEST, HIGHEST))
     # lambda: the root of sum p exp(lambda s) = 1 over the clean distribution; tokens without a score drift
-    p = np.array([r.clean + 0.5 for r in top])[order] / (top[0].c + 0.5 * len(top))
+    p = (clean_n[order] + 0.5) / (c[0] + 0.5 * len(token))
     s = model.scores - model.drift
     f = lambda x: float((p * np.exp(np.minimum(x * s, 700))).sum() + (1 - p.sum()) * math.exp(-x * model.drift) - 1)
     lo, hi = 1e-6, 1e-3
@@ -187,24 +208,14 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
         lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
     model.rate = (lo + hi) / 2
 
-    shared = spark.sparkContext.broadcast(model)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, scores = [], []
-            for _, m, segments, _, _ in _segmented(batch.column("text"), shared.value):
-                n.append(m)
-                scores.append([x for _, _, x in segments])
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "n", "scores"])
-
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_CALIBRATION)
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(best, "toxic boolean, n long, scores array<double>").collect()
-    sample.sort(key=lambda r: (r.toxic, r.n, r.scores))
-    clean = [model.rate * max(r.scores) - math.log(max(r.n, 1)) if r.scores else -math.log(max(r.n, 1)) for r in sample if not r.toxic and r.n]
+    chosen = known.where(apart).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_CALIBRATION)
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    best = _measured(texts, model, lambda segments, n: max((x for _, _, x in segments), default=0.0))
+    clean = [model.rate * x - math.log(max(n, 1)) for toxic, n, x in best if not toxic and n]
     if clean:
         model.log_k = float(np.quantile(clean, 0.99)) + math.log(0.01)  # one clean text in a hundred lies above E = 0.01
-    y = np.array([r.toxic for r in sample], float)
-    x = np.array([model.evidence([(0, 0, v) for v in r.scores], r.n) for r in sample])
+    sample = _measured(texts, model, model.evidence)
+    y, x = np.array([toxic for toxic, _, _ in sample], float), np.array([v for _, _, v in sample])
     if len(set(y.tolist())) == 2:
         scale, w, b = float(x.std()) or 1.0, 1.0, 0.0
         for _ in range(60):  # Newton, slightly damped
