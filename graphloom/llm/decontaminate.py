@@ -19,8 +19,8 @@ The benchmark is the small side: it is packed on the driver and broadcast, ``MAX
 benchmark takes several passes over the documents.
 
 Edge cases: null or empty texts leak nothing; null, empty and blank items are never leaked; items shorter than
-``SHORT_WORDS`` words (too short for a distance to mean anything) are matched exactly, as word sequences; equal items
-are all reported; repeated documents are reported as often as they occur; extra columns are ignored.
+``SHORT_WORDS`` words, to which ``TAU`` allows no edit, are matched exactly, as word sequences; very long texts are searched
+whole; equal items are all reported; repeated documents are reported as often as they occur; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from graphloom.llm.cluster import prepare
 
 #: Edits allowed, as a share of the item's words.
 TAU = 0.2
-SHORT_WORDS = 10
+SHORT_WORDS = 5
 #: Pairs of segments that are expanded at once.
 PAIRS = 1 << 18
 MAX_ITEMS_BYTES = 16 << 20
@@ -133,7 +133,7 @@ class Benchmark:
         return n - 2 - 3 * self.edits(n)
 
     def found_in(self, words: np.ndarray, grams: np.ndarray, hits: np.ndarray) -> dict[int, int]:
-        """Items of ten words or more that the text leaks, with their distances; hits marks the benchmark's among its 3-word sequences."""
+        """Items of SHORT_WORDS words or more that the text leaks, with their distances; hits marks the benchmark's among its 3-word sequences."""
         out: dict[int, int] = {}
         total = np.concatenate([[0], np.cumsum(hits)])
         for c in self.classes:

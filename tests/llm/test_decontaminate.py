@@ -55,13 +55,15 @@ def placed(rng, words, part, vocab):
     lo, hi = {"head": (0, 0.2), "front": (0, 0.4), "middle": (0.3, 0.7), "tail": (0.8, 1), "everywhere": (0, 1)}[part]
     at = rng.sample(range(int(lo * n), max(int(hi * n), int(lo * n) + int(D.TAU * n))), int(D.TAU * n))
     kind = rng.choice(["replace", "cut", "insert"])
+    if not at:
+        return list(words)
     return [x for i, w in enumerate(words) for x in ([w] if i not in at else {"replace": [rng.choice(vocab)], "cut": [], "insert": [rng.choice(vocab), w]}[kind])]
 
 
 def test_no_leak_is_lost_wherever_the_edits_are(spark):
     rng = random.Random(7)
     vocab = [f"w{i}" for i in range(400)]
-    items = [(n * 10 + k, " ".join(rng.choices(vocab, k=n))) for n in (10, 15, 30, 60, 100, 150, 240) for k in range(2)]
+    items = [(n * 10 + k, " ".join(rng.choices(vocab, k=n))) for n in (5, 7, 9, 10, 15, 30, 60, 100, 150, 240, 300) for k in range(2)]
     docs = []
     for part in ("head", "front", "middle", "tail", "everywhere"):
         for _, text in items:
