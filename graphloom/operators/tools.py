@@ -208,9 +208,9 @@ class GraphTools:
         among = self.nodes.where(F.col("symbol_type") == symbol_type.lower()) if symbol_type else self.nodes
         among = among.where(S.within(F.col("rel_path"), prefix)) if prefix else among
         found = self._text(query, k, among=among.select("node_id") if symbol_type or prefix else None)
-        if found.limit(1).count():
-            return found.select("node_id", "symbol_name", "symbol_type", "rel_path", "score")
-        return self._named(V.scanned(among, G.degrees(self.nodes, self.edges), query, k)).select("node_id", "symbol_name", "symbol_type", "rel_path", "score")
+        if not found.limit(1).count():
+            found = self._named(V.scanned(among, G.degrees(self.nodes, self.edges), query, k))
+        return found.select("node_id", "symbol_name", "symbol_type", "rel_path", "score").orderBy(F.desc("score"), "node_id")
 
     def relationships(self, name: str, direction: str = "both", depth: int = 2, most: int = 50) -> DataFrame:
         """The typed edges around the node of a name; around none, the texts that hold the name."""
