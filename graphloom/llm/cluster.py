@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from graphloom.llm.textcore import ARROW_ROWS
+from graphloom.llm.textcore import ARROW_BYTES, ARROW_ROWS
 from graphloom.sources.shared import discard, removed, scratch, shared_dir, tidied, written  # noqa: F401
 
 
 def prepare(spark: SparkSession) -> None:
-    """Smaller Arrow batches, so that a batch of long texts fits in a Python worker."""
+    """Smaller Arrow batches, in rows and in bytes, so that a batch of long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
 
 

@@ -29,8 +29,9 @@ _BASE_INV = pow(_BASE, -1, 2**64)
 _MULT = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
 _powers: list[np.ndarray] = []
 
-#: Rows given to Python at once; with the chunking below it bounds a worker's memory.
+#: Rows and bytes given to Python at once; with the chunking below they bound a worker's memory.
 ARROW_ROWS = 1024
+ARROW_BYTES = "16m"
 CHUNK_BYTES = 1 << 19
 
 
