@@ -9,7 +9,7 @@ length of the body), then for the documents their ids, null flags and first posi
 size, chunks, bits and rank directory; last a CRC-32 of all that.
 
 Edge cases: null or empty texts are the end id alone; rows that repeat a doc_id keep their own entries, in an order of
-their texts' hashes; null doc_ids come first; an empty table writes no file and gives an empty result; ids of up
+their texts' hashes; null doc_ids come first; an empty table writes no file and gives an empty result; very long texts are encoded whole; ids of up
 to 32 bits fit (four levels).
 """
 
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -124,45 +125,73 @@ class TokenFile:
         return out
 
 
+def encoded_texts(documents: DataFrame, path: str, bounds: list[int]) -> DataFrame:
+    """bucket, doc_id, h (hash of the text) and ids of every document: little-endian, two bytes each where the vocabulary allows, else
+    four.  The bucket is the number of ``bounds`` up to the doc_id, -1 for null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, edges = encoder(path), np.array(bounds, np.int64)
+        kind = id_kind(of)
+        for batch in batches:
+            own = batch.column("doc_id")
+            bucket = np.searchsorted(edges, pc.fill_null(own, 0).to_numpy(zero_copy_only=False), "right")
+            bucket[own.is_null().to_numpy(zero_copy_only=False)] = -1
+            ids = [x.astype(kind).tobytes() for x in of.batch(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), own, batch.column("h"), pa.array(ids, pa.binary())], ["bucket", "doc_id", "h", "ids"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(run, "bucket long, doc_id long, h long, ids binary")
+
+
+def id_kind(of) -> str:
+    return "<u2" if of.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def write_token_files(documents: DataFrame, folder: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode, and write files in ascending order of doc_id; returns the table of shards with their first positions.
 
-    The texts are range-partitioned by doc_id once; a task writes its range in files of about ``shard_ids`` ids.
+    Texts are encoded where they are read, and only ids are shuffled, by buckets of doc_ids whose bounds are quantiles of the
+    doc_id column alone: a bucket's files hold about ``shard_ids`` ids each.
     """
     spark = documents.sparkSession
     prepare(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    quantiles = documents.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    bounds = sorted({int(q) for q in quantiles})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, task = encoder(path), TaskContext.get().partitionId()
+        kind, attempt = id_kind(encoder(path)), TaskContext.get().taskAttemptId()
         end = np.array([end_id], np.uint32)
         held: list[np.ndarray] = []
         ids: list[int | None] = []
-        starts, shard = [0], 0
+        starts, shard, bucket = [0], 0, None
 
         def flush() -> pa.RecordBatch:
-            name = f"{folder}/tokens-{task:06d}-{shard:06d}.dac"
+            # files of another attempt at the same task have other names
+            name = f"{folder}/tokens-{bucket + 1:06d}-{attempt:08d}-{shard:06d}.dac"
             together = np.concatenate(held)
             held.clear()
             store.put(name, encoded(together, ids, np.array(starts), shard))
             del together
             give_back()
-            return pa.RecordBatch.from_pydict({"task": [task], "shard": [shard], "file": [name], "n_docs": [len(ids)], "n_ids": [starts[-1]]})
+            return pa.RecordBatch.from_pydict({"task": [bucket], "shard": [shard], "file": [name], "n_docs": [len(ids)], "n_ids": [starts[-1]]})
 
         for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text:
-                    held.append(of.ids(text))
-                held.append(end)
+            for at, i, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "ids")), strict=True):
+                if at != bucket:
+                    if ids:
+                        yield flush()
+                    held, ids, starts, shard, bucket = [], [], [0], 0, at
+                own = np.frombuffer(raw, kind).astype(np.uint32)
+                held += (own, end)
                 ids.append(i)
-                starts.append(starts[-1] + 1 + (len(held[-2]) if text else 0))
+                starts.append(starts[-1] + 1 + len(own))
                 if starts[-1] >= shard_ids:
                     yield flush()
                     held, ids, starts, shard = [], [], [0], shard + 1
         if ids:
             yield flush()
 
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    ordered = encoded_texts(documents, path, bounds).repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "h").select("bucket", "doc_id", "ids")
     shards = written(ordered.mapInArrow(run, "task long, shard long, file string, n_docs long, n_ids long"), "shards")
     # a row per file: positions of tasks, then of the files of a task
     tasks = shards.groupBy("task").agg(F.sum("n_ids").alias("_n")).select("task", F.coalesce(F.sum("_n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
