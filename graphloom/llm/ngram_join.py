@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import textcore as tc
-from graphloom.llm.cluster import discard, prepare, written
+from graphloom.llm.cluster import prepare, tidied, written
 from graphloom.operators.components import components
 
 SHINGLE_WORDS = 5
@@ -328,11 +328,10 @@ def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
         return written(components(links), "label")
     side = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     named = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    top = components(named).select(F.col("node").alias("component"), F.col("component").alias("_top"))
-    both = label.join(top, "component", "full_outer")
-    # a component that had one node so far is in no row of the labels
-    old = both.where("node IS NOT NULL").select("node", F.coalesce("_top", "component").alias("component"))
-    new = both.where("node IS NULL").select(F.col("component").alias("node"), F.col("_top").alias("component"))
+    top = written(components(named).select(F.col("node").alias("component"), F.col("component").alias("_top")), "top")
+    # only components that changed are in ``top``; one that had one node so far is in no row of the labels
+    old = label.join(_small(top), "component", "left").select("node", F.coalesce("_top", "component").alias("component"))
+    new = top.join(label.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("_top").alias("component"))
     return written(old.union(new), "label")
 
 
@@ -379,8 +378,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(groups: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, component_id, others) of members that link: others is the number of documents of other sets that link with it."""
     members = label.join(groups.select(F.col("rep").alias("node"), "n", F.col("k").alias("weight")), "node").select(F.col("node").alias("rep"), "component", "n", "weight")
-    size = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("weight").alias("weights"), F.sum(6.0 * F.col("n")).alias("bytes"))
-    members = written(members.join(size, "component"), "linked")
+    size = written(members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("weight").alias("weights"), F.sum(6.0 * F.col("n")).alias("bytes")), "sizes")
+    # a component of many members is looked up; the members of others, at most BLOCK_SETS of each, meet their size by a join
+    large = _small(size.where(F.col("sets") > BLOCK_SETS))
+    rest = members.join(large, "component", "left_anti").join(size.where(F.col("sets") <= BLOCK_SETS), "component")
+    members = written(members.join(large, "component").unionByName(rest), "linked")
     # a component of two members is one link
     two = members.where("sets = 2").select("rep", F.col("component").alias("component_id"), (F.col("weights") - F.col("weight")).alias("others"))
     cells = members.where("sets > 2").withColumn("blocks", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("bytes") / BLOCK_BYTES)).cast("int"))
@@ -398,9 +400,12 @@ def ngram_jaccard_join(documents: DataFrame, count_links: bool = True) -> DataFr
     ``n_links`` is the number of other documents with a doc_id that the document links with, copies among them; null
     with ``count_links=False``, which leaves step 6 out.
     """
+    prepare(documents.sparkSession)
+    return tidied(documents.sparkSession, "joined", lambda: _joined(documents.select("doc_id", "text"), count_links))
+
+
+def _joined(documents: DataFrame, count_links: bool) -> DataFrame:
     spark = documents.sparkSession
-    prepare(spark)
-    documents = documents.select("doc_id", "text")
     frequent = frequent_shingles(documents)
     profiles = written(shingle_profiles(documents, frequent), "profiles")
     own = profiles.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("k"), *(F.first(c, True).alias(c) for c in ("g", "head", "sig")))
