@@ -177,20 +177,23 @@ def sized(clusters: dict[int, list[str]], pairs: list[tuple[str, str, float]], w
     """Node to page: clusters below ``least`` go to the cluster they are most tied to (the largest, if to none), those above ``most`` are split."""
     clusters = {c: list(v) for c, v in clusters.items()}
     of = {v: c for c, vs in clusters.items() for v in vs}
+    near: dict[int, Counter] = {c: Counter() for c in clusters}
+    for a, b, w in pairs:
+        ca, cb = of.get(a), of.get(b)
+        if ca is not None and cb is not None and ca != cb:
+            near[ca][cb] += w
+            near[cb][ca] += w
     while len(clusters) > 1 and (small := [c for c in sorted(clusters) if len(clusters[c]) < least]):
         for c in small:
-            if c not in clusters or len(clusters) == 1:
+            if len(clusters) == 1 or len(clusters[c]) >= least:
                 continue
-            score: Counter = Counter()
-            for a, b, w in pairs:
-                if of.get(a) == c and of.get(b, c) != c:
-                    score[of[b]] += w
-                elif of.get(b) == c and of.get(a, c) != c:
-                    score[of[a]] += w
-            best = max((x for x in clusters if x != c), key=lambda x: (score[x], len(clusters[x]), -x))
-            for v in clusters[c]:
-                of[v] = best
+            best = max((x for x in clusters if x != c), key=lambda x: (near[c][x], len(clusters[x]), -x))
             clusters[best] += clusters.pop(c)
+            for x, w in near.pop(c).items():
+                near[x].pop(c, None)
+                if x != best:
+                    near[best][x] += w
+                    near[x][best] += w
     groups = [part for c in sorted(clusters) for part in split(clusters[c], pairs, where, most)]
     return {v: i for i, g in enumerate(groups) for v in g}
 
