@@ -36,10 +36,12 @@ def term_counts(documents: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences) and docs (documents that hold it)."""
     group = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
     # cut where no term is: several times cheaper than a match object for each term; the texts' ends may give empty ones
-    terms = F.split(ascii_lower(F.col("text")), BETWEEN)
-    each = documents.select(*group, F.explode(terms).alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))
-    once = documents.select(*group, F.explode(F.array_distinct(terms)).alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))
-    return each.unionByName(once).where("term <> ''").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = F.sort_array(F.split(ascii_lower(F.coalesce("text", F.lit(""))), BETWEEN))
+    starts = F.expr("filter(sequence(0, size(terms) - 1), i -> i = 0 OR terms[i] <> terms[i - 1])")
+    # a document's equal terms stand together and are counted there, so that each goes on once
+    runs = F.expr("transform(starts, (at, k) -> struct(terms[at] AS term, coalesce(get(starts, k + 1), size(terms)) - at AS n))")
+    found = documents.select(*group, terms.alias("terms")).select("*", starts.alias("starts")).select("lang", "source", F.explode(runs).alias("run"))
+    return found.where("run.term <> ''").groupBy("lang", "source", "run.term").agg(F.sum("run.n").alias("n"), F.count("*").alias("docs"))
 
 
 def share(count: str, total: str, kept: str, prior: int = PRIOR) -> F.Column:
