@@ -170,12 +170,21 @@ def symbol_columns(nodes: DataFrame) -> dict[str, Column]:
     return {"symbol_name": F.col("symbol_name"), "name_tokens": S.name_tokens(F.col("symbol_name")), "docstring": F.col("docstring"), "content": F.col("source_text")}
 
 
-def kept(spark: SparkSession, name: str, path: str, make) -> Index:
-    """The index of a table, built once in a session: known by the table's path, length and time of change."""
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of every file of a table, whether it is a file or a folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    out = []
+    while found.hasNext():
+        status = found.next()
+        out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return sorted(out)
+
+
+def kept(spark: SparkSession, name: str, paths: list[str], make) -> Index:
+    """The index of some tables, built once in a session: known by all their files' paths, lengths and times of change."""
     memo = spark.sparkContext.__dict__.setdefault("_graphloom_indexes", {})
-    known = (spark.sparkContext.applicationId, name, path, status.getLen(), status.getModificationTime())
+    known = (spark.sparkContext.applicationId, name, *(f for p in paths for f in _files(spark, p)))
     if known not in memo:
         memo[known] = make()
     return memo[known]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,32 +103,31 @@ def merged_graphs(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]
     return both.select(*(F.col(key) if c == key else pick(c) for c in columns)), a[1].unionByName(b[1], allowMissingColumns=True)
 
 
-def _words(name: str) -> set[str]:
-    return set(re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)", name))
+#: What each likeness of two names adds, and what the sum must exceed.
+LIKE_STEM, LIKE_START, LIKE_SUFFIX, LIKE_WORDS, LIKE_INSIDE, LIKE_ACRONYMS, LIKE_SHORT, LIKE_LEAST = 0.6, 0.3, 0.2, 0.4, 0.3, 0.5, 0.4, 0.2
 
 
 def similar_names(target: str, names: DataFrame, most: int = 3) -> DataFrame:
-    """name and score of the names most like ``target``: the beginning 0.6 (or its first four letters 0.3), a common ending 0.2,
-    shared words up to 0.4, the stem inside 0.3, shared acronyms up to 0.5, a short stem at the beginning 0.4; above 0.2."""
-    low = target.lower()
-    suffix = next((s for s in SUFFIXES if low.endswith(s)), None)
-    stem = low[: len(low) - len(suffix)] if suffix else low
-    words, acronyms = _words(low), set(re.findall(r"[A-Z]{2,}(?=[A-Z][a-z]|$|[^a-zA-Z])", target))
-    name = F.lower("name")
-    score = F.when(F.lit(stem != "") & name.startswith(stem), 0.6).when(F.lit(len(low) >= 4) & name.startswith(low[:4]), 0.3).otherwise(0.0)
-    if suffix:
-        score = score + F.when(name.rlike("(" + "|".join(SUFFIXES) + ")$"), 0.2).otherwise(0.0)
-    own = F.array_distinct(F.regexp_extract_all(name, F.lit("[a-z]+"), 0))
-    score = score + 0.4 * F.size(F.array_intersect(own, F.array(*map(F.lit, sorted(words))))) / max(len(words), 1) if words else score
-    if len(stem) >= 3:
-        score = score + F.when(name.contains(stem), 0.3).otherwise(0.0)
-    if acronyms:
-        theirs = F.regexp_extract_all("name", F.lit("[A-Z]{2,}(?=[A-Z][a-z]|$|[^a-zA-Z])"), 0)
-        score = score + 0.5 * F.size(F.array_intersect(theirs, F.array(*map(F.lit, sorted(acronyms))))) / len(acronyms)
-    if 2 <= len(stem) <= 4:
-        score = score + F.when(name.startswith(stem), 0.4).otherwise(0.0)
-    rows = names.select("name").distinct().where(name != low).select("name", F.round(score, 9).alias("score"))
-    return rows.where(F.col("score") > 0.2).orderBy(F.desc("score"), "name").limit(most)
+    """name and score of the names most like ``target``: its stem (the name without a common ending) or its first four letters at
+    the beginning, a common ending, words in common, the stem inside, acronyms in common, a short stem at the beginning."""
+    low, parts = target.lower(), S.spaced_name(F.col("name"))
+    ending = next((s for s in SUFFIXES if low.endswith(s)), "")
+    stem = low.removesuffix(ending)
+    words = sorted({w for w in re.split("[^a-z]+", low) if w})
+    acronyms = sorted({w for w in re.split("[^A-Za-z]+", re.sub("(?<=[A-Z])(?=[A-Z][a-z])", " ", target)) if len(w) > 1 and w.isupper()})
+    shared = lambda theirs, own: F.size(F.array_intersect(theirs, F.array(*map(F.lit, own)))) / len(own)
+    name = F.col("low")
+    likenesses = [
+        (bool(stem), F.when(name.startswith(stem), LIKE_STEM).when(F.lit(len(low) >= 4) & name.startswith(low[:4]), LIKE_START)),
+        (bool(ending), F.when(reduce(Column.__or__, (name.endswith(s) for s in SUFFIXES)), LIKE_SUFFIX)),
+        (bool(words), shared(F.split("low", "[^a-z]+"), words or [""]) * LIKE_WORDS),
+        (len(stem) >= 3, F.when(name.contains(stem), LIKE_INSIDE)),
+        (bool(acronyms), shared(F.filter(F.split(parts, "[^A-Za-z]+"), lambda w: (F.length(w) > 1) & (w == F.upper(w))), acronyms or [""]) * LIKE_ACRONYMS),
+        (2 <= len(stem) <= 4, F.when(name.startswith(stem), LIKE_SHORT)),
+    ]
+    score = sum((F.coalesce(likeness, F.lit(0.0)) for holds, likeness in likenesses if holds), F.lit(0.0))
+    rows = names.select("name").distinct().withColumn("low", F.lower("name")).where(F.col("low") != low).select("name", F.round(score, 9).alias("score"))
+    return rows.where(F.col("score") > LIKE_LEAST).orderBy(F.desc("score"), "name").limit(most)
 
 
 def parsed_json(text: str | None, wanted: str | None = None) -> dict | None:

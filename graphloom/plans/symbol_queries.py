@@ -39,7 +39,7 @@ hit AS (SELECT node_id, score FROM sc JOIN cn USING (node_id) WHERE ({holds}) AN
 
 
 def index(spark, sf):
-    return fts.kept(spark, "symbols", f"{sf}/documents.parquet", lambda: fts.build(code_nodes(spark, sf), "node_id", fts.symbol_columns(code_nodes(spark, sf))))
+    return fts.kept(spark, "symbols", [f"{sf}/{t}.parquet" for t in ("part", "supplier", "documents")], lambda: fts.build(code_nodes(spark, sf), "node_id", fts.symbol_columns(code_nodes(spark, sf))))
 
 
 def _search(name: str, q: fts.Query, where: str = "true", k: int = 10, among=None, plain: bool = False):
@@ -58,7 +58,7 @@ def fts_postings(spark, sf):
 
 @query("okapi_postings", "WITH t AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS places FROM t GROUP BY 1")
 def okapi_postings(spark, sf):
-    own = fts.kept(spark, "okapi", f"{sf}/documents.parquet", lambda: fts.text_index(table(spark, sf, "documents")))
+    own = fts.kept(spark, "okapi", [f"{sf}/documents.parquet"], lambda: fts.text_index(table(spark, sf, "documents")))
     return own.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("places"))
 
 

@@ -19,7 +19,7 @@ TERMS = ["the", "and", "thtion"]
 
 
 def _okapi_index(spark, sf):
-    return fts.kept(spark, "okapi", f"{sf}/documents.parquet", lambda: fts.text_index(table(spark, sf, "documents")))
+    return fts.kept(spark, "okapi", [f"{sf}/documents.parquet"], lambda: fts.text_index(table(spark, sf, "documents")))
 
 
 def _okapi_best(spark, sf, k=20, among=None):
@@ -28,7 +28,7 @@ def _okapi_best(spark, sf, k=20, among=None):
 
 def _words_index(spark, sf):
     """Words of texts and paths, with underscores inside words."""
-    return fts.kept(spark, "words", f"{sf}/documents.parquet", lambda: fts.build(corpus(spark, sf), "doc_id", {"text": F.col("text"), "path": F.col("path")}, K.word_tokens))
+    return fts.kept(spark, "words", [f"{sf}/documents.parquet"], lambda: fts.build(corpus(spark, sf), "doc_id", {"text": F.col("text"), "path": F.col("path")}, K.word_tokens))
 
 
 _TOK = "tok AS (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS t FROM corpus)"

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -28,25 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-#: Paths made so far in each open scope, the innermost last.
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Paths made so far in each open scope of a thread, the innermost last."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return path
 
 
 def tidied(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` returns, written; all other tables made on the way are deleted."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         found = make()
     finally:
-        made = _scopes.pop()
+        made = _scopes.open.pop()
     out = written(found, name)
     for path in made:
         removed(spark, path)

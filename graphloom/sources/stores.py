@@ -1,7 +1,7 @@
 """Tables of a graph in a folder: nodes, edges, vectors, facts, registries, each replaced whole so that nothing stale stays.
 
-A table is a folder of versions and a small file that names the current one; a new version is written beside the old, then
-named, so readers always see a whole table and a failed write changes nothing.
+A table is a folder of versions and a folder of their names, numbered; a new version is written beside the old, then named,
+so readers always see a whole table and a failed write changes nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
-from graphloom.sources.shared import removed
+from graphloom.sources.shared import removed, written
 
 NODE_KEY, EDGE_ENDS = "node_id", ("source_id", "target_id")
 #: Texts that are embedded at once.
@@ -42,22 +42,38 @@ def merged(old: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
     return new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def embedded(nodes: DataFrame, embed: Callable[[list[str]], list[list[float]]], most: int = EMBEDDED_AT_ONCE) -> DataFrame:
-    """node_id, embedding of nodes with a text that is not blank; texts go to ``embed`` by ``most``, and a batch that fails is left out."""
+def embedding_attempts(nodes: DataFrame, embed: Callable[[list[str]], list[list[float]]], most: int = EMBEDDED_AT_ONCE) -> DataFrame:
+    """node_id, embedding, error of every node with a text that is not blank: one of the two is null.
+
+    Texts go to ``embed`` by ``most``.  A batch that fails, or gives another number of vectors, is tried again text by text,
+    so that one bad text costs no other its vector; white and control characters count as spaces.
+    """
     text = F.coalesce(F.when(F.trim("source_text") != "", F.col("source_text")), F.col("docstring"))
-    rows = nodes.select(NODE_KEY, text.alias("text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    rows = nodes.select(NODE_KEY, F.regexp_replace(text, r"[\p{Z}\p{C}]", " ").alias("text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    schema = pa.schema([(NODE_KEY, pa.string()), ("embedding", pa.list_(pa.float32())), ("error", pa.string())])
+
+    def tried(texts: list[str]) -> list[tuple[list[float] | None, str | None]]:
+        try:
+            got = embed(texts)
+            if len(got) != len(texts):
+                raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+            return [(v, None) for v in got]
+        except Exception as e:  # noqa: BLE001 - whatever the model raises is kept with the row
+            return [x for t in texts for x in tried([t])] if len(texts) > 1 else [(None, f"{type(e).__name__}: {e}")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(NODE_KEY).to_pylist(), batch.column("text").to_pylist()
             for i in range(0, len(ids), most):
-                try:
-                    got = embed(texts[i : i + most])
-                except Exception:  # noqa: BLE001 - a failed batch has no vectors; the count tells
-                    continue
-                yield pa.RecordBatch.from_pydict({NODE_KEY: ids[i : i + most], "embedding": got}, schema=pa.schema([(NODE_KEY, pa.string()), ("embedding", pa.list_(pa.float32()))]))
+                vectors, errors = zip(*tried(texts[i : i + most]), strict=True)
+                yield pa.RecordBatch.from_pydict({NODE_KEY: ids[i : i + most], "embedding": vectors, "error": errors}, schema=schema)
+
+    return rows.mapInArrow(run, f"{NODE_KEY} string, embedding array<float>, error string")
 
-    return rows.mapInArrow(run, f"{NODE_KEY} string, embedding array<float>")
+
+def embedded(nodes: DataFrame, embed: Callable[[list[str]], list[list[float]]], most: int = EMBEDDED_AT_ONCE) -> DataFrame:
+    """node_id, embedding of the nodes whose text could be embedded; ``GraphStore.embed`` keeps the others with their errors."""
+    return embedding_attempts(nodes, embed, most).where("error IS NULL").drop("error")
 
 
 class GraphStore:
@@ -70,11 +86,17 @@ class GraphStore:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _current(self, table: str) -> str | None:
-        fs, where = self._fs(f"{self.folder}/{table}/current")
+    def _versions(self, table: str) -> list[tuple[int, str]]:
+        """Number and name of the versions that have been named, the current one last."""
+        fs, where = self._fs(f"{self.folder}/{table}/_names")
         if not fs.exists(where):
-            return None
-        return self.spark.read.text(f"{self.folder}/{table}/current").first()[0]
+            return []
+        names = (status.getPath().getName() for status in fs.listStatus(where))
+        return sorted((int(n), v) for n, _, v in (name.partition("-") for name in names))
+
+    def _current(self, table: str) -> str | None:
+        known = self._versions(table)
+        return known[-1][1] if known else None
 
     def read(self, table: str) -> DataFrame | None:
         """The current version, or None."""
@@ -82,18 +104,25 @@ class GraphStore:
         return None if version is None else self.spark.read.parquet(f"{self.folder}/{table}/{version}")
 
     def write(self, table: str, rows: DataFrame) -> DataFrame:
-        """A new version, then its name, then the old version goes."""
-        old, new = self._current(table), uuid.uuid4().hex
+        """A new version, then its name; the version before stays for its readers, older ones go.
+
+        A name is an empty file of the version's number and id: it is there or not, so a crash leaves the table as it was.
+        If another writer has named a version meanwhile, this one fails rather than lose what that one wrote.
+        """
+        before, new = self._versions(table), uuid.uuid4().hex
         rows.write.parquet(f"{self.folder}/{table}/{new}")
-        fs, where = self._fs(f"{self.folder}/{table}/current")
-        _, aside = self._fs(f"{self.folder}/{table}/current.{new}")
-        out = fs.create(aside, True)
-        out.write(bytearray(new, "ascii"))
-        out.close()
-        if fs.exists(where):
-            fs.delete(where, False)
-        fs.rename(aside, where)
-        if old:
+        if self._versions(table) != before:
+            removed(self.spark, f"{self.folder}/{table}/{new}")
+            raise RuntimeError(f"{table} was written by another while this was made; read it again")
+        number = before[-1][0] + 1 if before else 0
+        fs, name = self._fs(f"{self.folder}/{table}/_names/{number:012d}-{new}")
+        fs.create(name, False).close()
+        if sum(n == number for n, _ in self._versions(table)) > 1:  # of two at once at least one sees the other
+            fs.delete(name, False)
+            removed(self.spark, f"{self.folder}/{table}/{new}")
+            raise RuntimeError(f"{table} was written by another while this was named; read it again")
+        for n, old in before[:-1]:
+            removed(self.spark, f"{self.folder}/{table}/_names/{n:012d}-{old}")
             removed(self.spark, f"{self.folder}/{table}/{old}")
         return self.read(table)
 
@@ -121,6 +150,13 @@ class GraphStore:
     def upsert_vectors(self, vectors: DataFrame) -> DataFrame:
         return self.write("vectors", merged(self.read("vectors"), vectors, NODE_KEY))
 
+    def embed(self, embed: Callable[[list[str]], list[list[float]]], most: int = EMBEDDED_AT_ONCE) -> dict[str, int]:
+        """Vectors of all nodes with a text; nodes that have none at the end are in the table ``failures`` with their errors."""
+        tried = written(embedding_attempts(self.read("nodes"), embed, most), "embedded")
+        self.upsert_vectors(tried.where("error IS NULL").drop("error"))
+        self.write("failures", tried.where("error IS NOT NULL").select(NODE_KEY, "error"))
+        return {"vectors": tried.where("error IS NULL").count(), "failures": tried.where("error IS NOT NULL").count()}
+
     def vectors_of(self, ids: DataFrame) -> DataFrame:
         return self.read("vectors").join(ids.select(NODE_KEY), NODE_KEY, "left_semi")
 

@@ -225,6 +225,43 @@ def test_surfaces():
     assert U.parameters("Map<A, B> x, final int y") == ["x", "y"]
 
 
+def test_surfaces_by_frames():
+    of = lambda text, lang, name="f", **k: [s for _, s, _ in U.surfaces(text, lang, name, **k)]
+    assert of('bp = Blueprint("x", __name__, url_prefix="/v")\n@bp.post("/v/a")\ndef a(): pass', "python") == ["POST /v/a"]
+    assert of('client.request({ url: "/a", method: "PATCH" })', "javascript") == ["PATCH /a"]
+    assert of('app.get("/u/", (q, r) => r.send(")"))', "javascript") == ["GET /u"] and of('app.get("setting")', "javascript") == []
+    assert of('@RequestMapping(value = "/rest/v2beta1/z", method = RequestMethod.POST)', "java") == ["GET /rest/v2beta1/z", "GET /z"]
+    assert of('@Controller\n@Path("/p")\nclass A { @GET public X get() {} @POST public X put() {} }', "java") == ["GET /p", "POST /p"]
+    assert of("@Resolver(() => User)\nclass R { @Query(() => [User]) users() {} }", "typescript") == ["gql:resolver", "gql:query"]
+    assert of('lib = ctypes.CDLL("l.so")\nlib.total(1)\nother.total2()', "python") == ["ffi:f", "ffi:total"]
+    assert of("return lib.total(1) + lib.lost.deep(2)", "python", libraries={"lib"}) == ["ffi:total"]
+    assert of("private native int hash(byte[] b);", "java", "hash") == ["ffi:hash"] and of("#[wasm_bindgen]\npub fn go() {}", "rust", "go") == ["ffi:go"]
+    assert of('cmd := &cobra.Command{\n Use: "serve [flags]",\n Short: "x",\n}', "go") == ["cli:serve"]
+    assert of('p.add_subparsers(dest="c").add_parser("run", help="x")', "python") == ["cli:run"] and of('@click.group(name="top")', "python") == ["cli:top"]
+    assert of("public class A extends B implements C, D<E, F> { public int Total { get; set; } internal void M(int x) { int y = 1; } private Map<K, V> byKey = new X(); }", "csharp") == ["obj:a#by_key,total"]
+    assert of("struct P { pub a_b: Vec<u8>, #[serde(rename = \"x\")] pub c: i32 }", "rust") == ["obj:p#a_b,x"]
+    assert of("class T(Base):\n    a: int = 1\n    def f(self):\n        if x:\n            y = 2\n        else: z\nclass U:\n    b: str\n", "python") == ["obj:t#a", "obj:u#b"]
+    assert U.snake("HTTPServerError2Go") == "http_server_error2_go" and U.normal_path("'a/b/'") == "/a/b" and U.normal_path("/") == "/"
+    assert U.parameters("a: int, b") == ["int", "b"] and U.parameters("") == []
+
+
+def test_surfaces_take_linear_time():
+    for bad in ("APIRouter(", "&cobra.Command{", "{method: 'GET', url: ", "interface A { a: ", "@Path(\"/p\") @GET ", "'\\'", "class A { private ", "service S { rpc ", "x.", "<", "a,", ") ", "struct S { #[serde("):
+        took = []
+        for n in (2_000, 8_000):
+            began = time.process_time()
+            for lang in ("python", "typescript", "java", "go", "rust"):
+                U.surfaces(bad * n, lang, "f")
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.5, (bad, took)
+
+
+def test_surfaces_of_a_file(spark):
+    rows = [node("a", path="x.py", text='r = APIRouter(prefix="/u")\nlib = ctypes.CDLL("l")'), node("b", path="x.py", text='@r.get("/me")\ndef me(): return lib.total()'), node("c", path="y.py", text='@r.get("/me")'), node("d", text=None), node("e", lang=None, text="service S { rpc R (A) }")]
+    got = {(r.node_id, r.surface) for r in U.extracted(nodes_of(spark, *rows)).collect()}
+    assert got == {("a", "ffi:a"), ("b", "GET /u/me"), ("b", "ffi:total"), ("c", "GET /me"), ("e", "grpc:S/R")}
+
+
 def test_expansion_rules(spark):
     n = nodes_of(spark, node("c", kind="class"), *[node(f"b{i}", kind="class") for i in range(5)], node("m", kind="method"), node("made", kind="class"), node("f"), node("k", kind="constant"))
     e = edges_of(spark, *[("c", f"b{i}", "inheritance") for i in range(5)], ("c", "m", "defines"), ("m", "made", "creates"), ("c", "f", "references"), ("c", "k", "composition"), ("f", "c", "calls"))
@@ -297,6 +334,52 @@ def test_embedding_in_batches(spark):
     assert {r.node_id: r.embedding for r in embedded(n.repartition(1), embed, 1).collect()} == {"a": [3.0], "b": [3.0]}
 
 
+def test_embeddings_and_failures_are_all_rows(spark, tmp_path):
+    """One bad text costs no other of its batch its vector; what fails is kept with its error, and can be tried again."""
+    rows = [node(f"n{i:03d}", text="" if i % 10 == 9 else f"bad {i}" if i % 7 == 3 else f"text\u200b{i}") for i in range(100)]
+
+    def embed(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no " + texts[0])
+        return [[float(len(t)), 1.0] for t in texts]
+
+    store = GraphStore(spark, f"file://{tmp_path}/e")
+    store.upsert_nodes(nodes_of(spark, *rows).repartition(3))
+    texts = {r[0]: r[9] for r in rows if r[9]}
+    bad = {k for k, t in texts.items() if "bad" in t}
+    assert store.embed(embed, 16) == {"vectors": len(texts) - len(bad), "failures": len(bad)}
+    failed = {r.node_id: r.error for r in store.read("failures").collect()}
+    assert failed == {k: f"RuntimeError: no {texts[k]}" for k in bad}
+    assert {r.node_id: r.embedding[0] for r in store.read("vectors").collect()} == {k: float(len(t)) for k, t in texts.items() if k not in bad}
+    assert store.embed(lambda ts: [[0.0]] * len(ts), 16) == {"vectors": len(texts), "failures": 0} and store.read("failures").count() == 0
+    short = store.embed(lambda ts: [[0.0]] * (len(ts) // 2 or 1), 16)
+    assert short == {"vectors": len(texts), "failures": 0}  # too few vectors for a batch: text by text
+
+
+def test_a_store_keeps_what_another_wrote(spark, tmp_path):
+    store = GraphStore(spark, f"file://{tmp_path}/w")
+    for i in range(4):
+        store.write("t", spark.range(i + 1))
+    held = store.read("t")
+    store.write("t", spark.range(9))
+    assert held.count() == 4 and store.read("t").count() == 9  # a reader of the version before still reads it
+    assert len(store._versions("t")) == 2
+
+    class Meanwhile(GraphStore):
+        def _versions(self, table):
+            found = super()._versions(table)
+            self.seen = getattr(self, "seen", 0) + 1
+            if self.seen == 1:
+                GraphStore(spark, self.folder).write(table, spark.range(5))
+            return found
+
+    with pytest.raises(RuntimeError, match="another"):
+        Meanwhile(spark, store.folder).write("t", spark.range(7))
+    assert store.read("t").count() == 5
+    store.spark.range(3).write.parquet(f"{store.folder}/t/unnamed")  # a write that died before it was named
+    assert store.read("t").count() == 5
+
+
 def test_first_line_of_a_docstring(spark):
     rows = [('"""Does it.\nMore."""', "Does it."), ("/** Args:\n * @param x\n * Real one\n */", "Real one"), (None, ""), ("# note\nuse it", "use it"), ("x" * 200, "x" * 117 + "...")]
     df = spark.createDataFrame(rows, "d string, want string")

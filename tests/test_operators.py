@@ -24,7 +24,7 @@ def test_scalars(spark):
     assert one(spark, S.file_stem(F.col("p")), p="a/b.c/test_x.py") == "test_x"
     assert one(spark, S.snake(F.col("p")), p="HttpServerError") == "http_server_error"
     assert one(spark, S.layer(F.lit("main"), F.lit("function"), F.lit("src/x.py"), F.lit(None).cast("string"))) == "entry_point"
-    for path, want in [("tests/a.py", True), ("src/test_a.py", True), ("a/b_test.go", True), ("x.spec.ts", True), ("src/contest.py", False), ("latest/a.py", False)]:
+    for path, want in [("tests/a.py", True), ("src/test_a.py", True), ("a/b_test.go", True), ("x.spec.ts", True), ("src/contest.py", True), ("src/contests_all.py", False), ("latest/a.py", False)]:
         assert one(spark, S.is_test_path(F.col("p")), p=path) == want, path
     assert one(spark, S.score_norm(F.lit(None).cast("double"))) == 0.0
     assert one(spark, S.section_cap(F.lit(1000))) == 9
