@@ -17,66 +17,6 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def _tf(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == F.lit(term)))
-
-
-def bm25_okapi(docs: DataFrame, terms: list[str], k: int = 20, k1: float = 1.5, b: float = 0.75, where: Column | None = None) -> DataFrame:
-    """doc_id and Okapi BM25 score of the k best; a term repeated in the query counts as often.
-
-    Term frequencies are counted in place, so nothing but one row of statistics and the k best leave a task; ``where``
-    restricts the results, not the statistics.
-    """
-    distinct = list(dict.fromkeys(terms))
-    counted = docs.withColumn("_in", where if where is not None else F.lit(True)).select("doc_id", "_in", space_tokens(F.col("text")).alias("t"))
-    counted = counted.select("doc_id", "_in", F.size("t").alias("dl"), *(_tf("t", x).alias(f"tf{i}") for i, x in enumerate(distinct))).where("dl > 0")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(distinct))))
-    score = F.lit(0.0)
-    for i, x in enumerate(distinct):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + terms.count(x) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hit = F.expr(" OR ".join(f"tf{i} > 0" for i in range(len(distinct))))
-    scored = counted.where(hit & F.col("_in")).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score"))
-    return scored.orderBy(F.desc("score"), "doc_id").limit(k)
-
-
-def bm25_columns(docs: DataFrame, columns: dict[str, float], terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75, prefix: bool = False) -> DataFrame:
-    """BM25 with weighted columns: f = sum of weight * tf, length over all columns, idf floored at 1e-6; any term matches."""
-    toks = docs.select("doc_id", *(word_tokens(F.coalesce(c, F.lit(""))).alias(c) for c in columns))
-    match = (lambda t, x: t.startswith(x)) if prefix else (lambda t, x: t == F.lit(x))
-    per = {i: sum(F.size(_matching(c, x, match)) * w for c, w in columns.items()) for i, x in enumerate(terms)}
-    counted = toks.select("doc_id", sum(F.size(c) for c in columns).alias("dl"), *(per[i].cast("double").alias(f"f{i}") for i in per))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"df{i}") for i in per))
-    score = F.lit(0.0)
-    for i in per:
-        f, df = F.col(f"f{i}"), F.col(f"df{i}")
-        idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hit = F.expr(" OR ".join(f"f{i} > 0" for i in per))
-    return counted.where(hit).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
-
-
-def _matching(column: str, term: str, match) -> Column:
-    def one(t: Column) -> Column:
-        return match(t, term)
-
-    return F.filter(column, one)
-
-
-def phrase(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Documents that hold the words next to each other."""
-    joined = F.concat(F.lit(" "), F.array_join(word_tokens(F.col("text")), " "), F.lit(" "))
-    return docs.where(joined.contains(f" {' '.join(words)} "))
-
-
-def near(docs: DataFrame, first: str, second: str, distance: int) -> DataFrame:
-    """Documents where the two words stand at most ``distance`` words apart."""
-    placed = docs.withColumn("_t", word_tokens(F.col("text")))
-    spots = lambda w: F.filter(F.transform("_t", lambda t, i: F.when(t == w, i)), lambda i: i.isNotNull())
-    return placed.withColumn("_a", spots(first)).withColumn("_b", spots(second)).where(F.exists("_a", lambda x: F.exists("_b", lambda y: F.abs(x - y) <= distance + 1))).drop("_t", "_a", "_b")
-
-
 def idf(docs: DataFrame, terms: list[str]) -> DataFrame:
     """term, df and ln(N / (1 + df))."""
     toks = docs.select(F.array_distinct(word_tokens(F.col("text"))).alias("t"))

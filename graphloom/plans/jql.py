@@ -75,10 +75,15 @@ def glob(value: str) -> str:
     return f"(?is)^{out}$"
 
 
-def _is(column: Column, value: str) -> Column:
+def matches(column: Column, value: str) -> Column:
     return column.rlike(glob(value)) if re.search(r"[*?\[]", value) else F.lower(column) == value.lower()
 
 
+def compared(number: Column, c: Clause) -> Column:
+    """A clause that compares a number; what is no number matches nothing."""
+    return _COMPARE[c.op](number, int(c.value)) if c.value.isdigit() else F.lit(False)
+
+
 def _holds(nodes: DataFrame, value: str) -> Column:
     """All words of a value, in the name, docstring or text of a node."""
     where = F.concat_ws(" ", *(F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("symbol_name", "docstring", "source_text") if c in nodes.columns))
@@ -99,21 +104,21 @@ def compile_jql(query: str | Jql, nodes: DataFrame, edges: DataFrame, strict: bo
         for c in clauses:
             negate = c.op in ("!", "!=")
             if c.field == "connections":
-                own = own.where(_COMPARE[c.op](F.col("connections"), int(c.value)) if c.value.isdigit() else F.lit(False))
+                own = own.where(compared(F.col("connections"), c))
                 continue
             if c.field == "has_rel":
-                own = own.join(_ends(edges, RELATION_NAMES.get(c.value.lower(), c.value.lower()), q.direction), "node_id", "left_anti" if negate else "left_semi")
+                own = own.join(ends(edges, RELATION_NAMES.get(c.value.lower(), c.value.lower()), q.direction), "node_id", "left_anti" if negate else "left_semi")
                 continue
             if c.field == "related":
-                anchors = nodes.where(_is(F.col("symbol_name"), c.value)).select("node_id")
+                anchors = nodes.where(matches(F.col("symbol_name"), c.value)).select("node_id")
                 reached = G.within_hops(edges, anchors, RELATED_HOPS, q.direction).where("hop > 0").select("node_id")
                 own = own.join(reached, "node_id", "left_anti" if negate else "left_semi")
                 continue
             test = {
-                "type": lambda v: _is(F.col("symbol_type"), v),
-                "layer": lambda v: _is(S.layer(F.col("symbol_name"), F.col("symbol_type"), F.col("rel_path"), F.col("parent_symbol") if "parent_symbol" in nodes.columns else F.lit(None).cast("string")), v),
+                "type": lambda v: matches(F.col("symbol_type"), v),
+                "layer": lambda v: matches(S.layer(F.col("symbol_name"), F.col("symbol_type"), F.col("rel_path"), F.col("parent_symbol") if "parent_symbol" in nodes.columns else F.lit(None).cast("string")), v),
                 "file": lambda v: F.col("rel_path").rlike(glob(v)) if re.search(r"[*?\[]", v) else S.within(F.col("rel_path"), v),
-                "name": lambda v: _is(F.col("symbol_name"), v),
+                "name": lambda v: matches(F.col("symbol_name"), v),
                 "text": lambda v: _holds(nodes, v),
             }[c.field](c.value)
             own = own.where(~test if negate else test)
@@ -125,7 +130,7 @@ def compile_jql(query: str | Jql, nodes: DataFrame, edges: DataFrame, strict: bo
     return parts.select("node_id", "symbol_name", "symbol_type", "rel_path", "connections").orderBy(F.desc("connections"), "node_id").limit(q.limit)
 
 
-def _ends(edges: DataFrame, relation: str, direction: str) -> DataFrame:
+def ends(edges: DataFrame, relation: str, direction: str) -> DataFrame:
     own = edges.where(F.col("rel_type") == relation)
     out = own.select(F.col("source_id").alias("node_id"))
     into = own.select(F.col("target_id").alias("node_id"))

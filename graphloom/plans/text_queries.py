@@ -77,12 +77,21 @@ def prefix_search(spark, sf):
 
 @query("phrase_search", f"{_C}, {_WORDS} SELECT doc_id FROM tok WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' all rights reserved ')")
 def phrase_search(spark, sf):
-    return K.phrase(corpus(spark, sf), ["all", "rights", "reserved"]).select("doc_id")
+    """By postings of the three words alone."""
+    return fts.phrase_hits(_words_index(spark, sf), fts.Phrase(("all", "rights", "reserved"), False, "text"), {}).select("doc_id")
 
 
 @query("near_search", f"{_C}, {_WORDS}, p AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM tok) SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND abs(a.i - b.i) <= 6 WHERE a.w = 'apache' AND b.w = 'version'")
 def near_search(spark, sf):
-    return K.near(corpus(spark, sf), "apache", "version", 5).select("doc_id")
+    """By postings of the two words alone."""
+    return fts.phrase_hits(_words_index(spark, sf), fts.Near((fts.phrase("apache"), fts.phrase("version")), 5, "text"), {}).select("doc_id")
+
+
+@query("near_four_words", f"{_C}, {_WORDS}, p AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM tok), e AS (SELECT doc_id, w, i, max(CASE WHEN w = 'apache' THEN i END) OVER o AS a, max(CASE WHEN w = 'license' THEN i END) OVER o AS b, max(CASE WHEN w = 'version' THEN i END) OVER o AS c, max(CASE WHEN w = 'the' THEN i END) OVER o AS d FROM p WHERE w IN ('apache', 'license', 'version', 'the') WINDOW o AS (PARTITION BY doc_id ORDER BY i)) SELECT doc_id, count(*) AS clumps FROM e WHERE i - least(a, b, c, d) - 1 <= 12 AND a + b + c + d IS NOT NULL GROUP BY 1")
+def near_four_words(spark, sf):
+    """Documents that hold four words close together, in any order, and how many windows they close."""
+    group = fts.Near(tuple(map(fts.phrase, ("apache", "license", "version", "the"))), 12, "text")
+    return fts.phrase_hits(_words_index(spark, sf), group, {}).select("doc_id", F.col("f").cast("long").alias("clumps"))
 
 
 @query("count_matches", f"{_C}, {_WORDS} SELECT count(*) FILTER (list_contains(t, 'the') AND list_contains(t, 'license')) AS both, count(*) FILTER (list_contains(t, 'license')) AS one FROM tok")
