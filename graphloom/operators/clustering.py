@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
-from graphloom.operators.expand import louvain
+from graphloom.operators.expand import communities, louvain
 from graphloom.operators.graph import contracted, undirected
+from graphloom.operators.leiden import leiden, numbered
 from graphloom.operators.linkage import bridges
 from graphloom.sources.shared import written
 
@@ -221,17 +222,20 @@ def pages(nodes: DataFrame, edges: DataFrame, sections: DataFrame, resolution: f
     return rows.groupBy("section").applyInPandas(run, "node_id string, section int, page int")
 
 
+#: File graphs of up to so many pairs (some tens of megabytes) are clustered in one task, in seconds; larger ones by rounds over the
+#: cluster, which take some seconds each whatever the size.
+SEQUENTIAL_PAIRS = 200_000
+
+
 def sections(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """node_id and cluster: communities of the file graph; files without an edge go where most of their directory's files are
     (the smallest section of equals), or, if there are none, get a section each."""
-    files = contracted(nodes, edges, lambda p: p).withColumn("scope", F.lit("all"))
-    rows = checked(files.select("scope", "a", "b", F.col("weight").cast("double").alias("weight")), "scope")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(frame.sort_values(["a", "b"])[["a", "b", "weight"]].itertuples(index=False, name=None), resolution)
-        return pd.DataFrame({"rel_path": list(found), "cluster": list(found.values())})
-
-    placed = written(rows.groupBy("scope").applyInPandas(run, "rel_path string, cluster int"), "sections")
+    files = written(contracted(nodes, edges, lambda p: p).select(F.lit("all").alias("scope"), "a", "b", F.col("weight").cast("double").alias("weight")), "file-graph")
+    if files.count() <= SEQUENTIAL_PAIRS:
+        found = communities(files, "scope", resolution).select("scope", F.col("node_id").alias("node"), F.col("community").alias("number"))
+    else:
+        found = numbered(leiden(files, resolution))
+    placed = written(found.select(F.col("node").alias("rel_path"), F.col("number").alias("cluster")), "sections")
     lone = nodes.select("rel_path").distinct().join(placed, "rel_path", "left_anti").withColumn("dir", S.directory(F.col("rel_path")))
     votes = placed.groupBy(S.directory(F.col("rel_path")).alias("dir"), "cluster").count().groupBy("dir").agg(F.max_by("cluster", F.struct("count", -F.col("cluster"))).alias("cluster"))
     some = placed.agg(F.min("cluster").alias("first"))

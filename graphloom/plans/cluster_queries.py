@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import clustering as C
 from graphloom.operators import graph as G
+from graphloom.operators.leiden import leiden, numbered
 from graphloom.plans.code_queries import _CW, _DIR
 from graphloom.plans.code_view import CODE_SQL, code_edges, code_nodes
 from graphloom.plans.planning_queries import _symbols
@@ -74,6 +75,15 @@ def file_sections(spark, sf):
     return C.sections(code_nodes(spark, sf), _weighted(spark, sf)).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+@query("leiden_files")
+def leiden_files(spark, sf):
+    """Communities of the file graph of each cluster by a few rounds over all clusters at once, with their sizes."""
+    side = lambda end: code_nodes(spark, sf).select(F.col("node_id").alias(end), F.col("rel_path").alias(f"{end}_path"), F.col("macro_cluster").alias(f"{end}_scope"))
+    e = _weighted(spark, sf).join(side("source_id"), "source_id").join(side("target_id"), "target_id").where("source_id_scope = target_id_scope")
+    pairs = e.select(F.col("source_id_scope").alias("scope"), F.col("source_id_path").alias("a"), F.col("target_id_path").alias("b"), "weight")
+    return numbered(leiden(pairs, rounds=5, levels=2)).groupBy("scope", "number").agg(F.count("*").alias("n"))
+
+
 @query("sized_pages")
 def sized_pages(spark, sf):
     """Pages of 4 to 60 nodes inside each section."""
