@@ -350,11 +350,19 @@ def build(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer=token
     A ``stemmed`` index holds the stems of the tokens; what asks it has its words stemmed too (``stemmed_query``).
     """
     own = rows.select(key, *(tokenizer(F.coalesce(c, F.lit(""))).alias(n) for n, c in columns.items()))
-    long = own.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("col"), F.col(n).alias("t")) for n in columns))).alias("c")).select(key, "c.col", F.posexplode("c.t").alias("pos", "term"))
-    long = long.withColumn("term", stem("term")) if stemmed else long
-    postings = long.groupBy("term", key, "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    each = own.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("col"), F.col(n).alias("t")) for n in columns))).alias("c")).where("size(c.t) > 0")
+    # a text's equal terms are put side by side and packed where the text is read, so no token is shuffled alone
+    placed = each.select(key, "c.col", F.sort_array(F.expr("transform(c.t, (x, i) -> struct(x AS term, i AS pos))")).alias("s"))
+    starts = placed.select("*", F.expr("filter(sequence(0, size(s) - 1), i -> i = 0 OR s[i].term <> s[i - 1].term)").alias("starts"))
+    packed = F.expr("transform(starts, (a, k) -> struct(s[a].term AS term, transform(slice(s, a + 1, coalesce(get(starts, k + 1), size(s)) - a), e -> e.pos) AS positions))")
+    postings = starts.select(key, "col", F.explode(packed).alias("p")).select("p.term", key, "col", "p.positions")
     # written before it is ranged: ranges are found by a pass over the rows, which would tokenize all texts again
-    postings = written(written(postings, "terms").repartitionByRange("term", key).sortWithinPartitions("term", key), "postings")
+    postings = written(postings, "terms")
+    if stemmed:  # every term is stemmed once
+        stems = written(postings.select("term").distinct().withColumn("stem", stem("term")), "stems")
+        joined = postings.join(stems, "term").groupBy(F.col("stem").alias("term"), key, "col")
+        postings = written(joined.agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")), "terms")
+    postings = written(postings.repartitionByRange("term", key).sortWithinPartitions("term", key), "postings")
     lengths = written(own.select(key, sum(F.size(n) for n in columns).alias("dl")), "lengths")
     return Index(postings, lengths, written(lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats"), key)
 
