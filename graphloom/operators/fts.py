@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars as S
 from graphloom.functions.stems import stem, without_marks
 from graphloom.operators.search import space_tokens
-from graphloom.sources.shared import written
+from graphloom.sources.shared import discard, written
 
 #: Weights of the columns of the symbol index.
 SYMBOL_WEIGHTS = {"symbol_name": 10.0, "name_tokens": 8.0, "docstring": 3.0, "content": 1.0}
@@ -357,12 +357,14 @@ def build(rows: DataFrame, key: str, columns: dict[str, Column], tokenizer=token
     packed = F.expr("transform(starts, (a, k) -> struct(s[a].term AS term, transform(slice(s, a + 1, coalesce(get(starts, k + 1), size(s)) - a), e -> e.pos) AS positions))")
     postings = starts.select(key, "col", F.explode(packed).alias("p")).select("p.term", key, "col", "p.positions")
     # written before it is ranged: ranges are found by a pass over the rows, which would tokenize all texts again
-    postings = written(postings, "terms")
+    made = [written(postings, "terms")]
     if stemmed:  # every term is stemmed once
-        stems = written(postings.select("term").distinct().withColumn("stem", stem("term")), "stems")
-        joined = postings.join(stems, "term").groupBy(F.col("stem").alias("term"), key, "col")
-        postings = written(joined.agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")), "terms")
-    postings = written(postings.repartitionByRange("term", key).sortWithinPartitions("term", key), "postings")
+        made.append(written(made[0].select("term").distinct().withColumn("stem", stem("term")), "stems"))
+        joined = made[0].join(made[1], "term").groupBy(F.col("stem").alias("term"), key, "col")
+        made.append(written(joined.agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")), "terms"))
+    postings = written(made[-1].repartitionByRange("term", key).sortWithinPartitions("term", key), "postings")
+    for table in made:
+        discard(table)
     lengths = written(own.select(key, sum(F.size(n) for n in columns).alias("dl")), "lengths")
     return Index(postings, lengths, written(lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats"), key)
 
