@@ -76,8 +76,12 @@ class ToxicityModel:
 
 def maximal_segments(positions: np.ndarray, values: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """Ruzzo-Tompa: all maximal scoring segments (first, past the last, score) of a sequence whose entries are ``values``
-    at ``positions`` and ``-drift`` elsewhere."""
-    found: list[tuple[int, int, float, float]] = []  # start, end, cumulative score before it and at its end
+    at ``positions`` and ``-drift`` elsewhere.
+
+    Every segment keeps the one that it was held against: the nearest before it that starts lower.  Whoever starts lower still
+    skips all between the two, so the scan is linear in the entries.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, cumulative score before it and at its end, the one it was held against
     total, at = 0.0, 0
     for p, v in zip(positions.tolist(), values.tolist(), strict=True):
         total -= drift * (p - at)
@@ -87,16 +91,18 @@ def maximal_segments(positions: np.ndarray, values: np.ndarray, drift: float) ->
             continue
         start, left, right = p, total, total + v
         total = right
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= right:
-                found.append((start, p + 1, left, right))
+                found.append((start, p + 1, left, right, j))
                 break
             start, left = found[j][0], found[j][2]
+            below = found[j][4]
             del found[j:]
-    return [(s, e, r - b) for s, e, b, r in found]
+            j = below
+    return [(s, e, r - b) for s, e, b, r, _ in found]
 
 
 def _tokens(chunk: tc.Chunk) -> tuple[tc.Words, np.ndarray]:

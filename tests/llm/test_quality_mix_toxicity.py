@@ -1,6 +1,9 @@
 import re
+import time
 from collections import Counter
 
+import numpy as np
+
 from graphloom.llm.mixing import mixed
 from graphloom.llm.quality import fit_quality, quality_rules
 from graphloom.llm.toxicity import fit_toxicity, maximal_segments, toxicity
@@ -50,9 +53,40 @@ def test_mix(spark):
     assert mixed(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_segments():
-    import numpy as np
+def _best_segments(values):
+    """By definition: the best contiguous run, then the best ones left and right of it."""
+    if not values:
+        return []
+    sums = np.concatenate([[0], np.cumsum(values)])
+    score, i, j = max((sums[j] - sums[i], i, j) for i in range(len(values)) for j in range(i + 1, len(values) + 1))
+    if score <= 0:
+        return []
+    return [*_best_segments(values[:i]), (i, j, score), *((a + j, b + j, x) for a, b, x in _best_segments(values[j:]))]
+
+
+def test_segments_by_definition():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        n = int(rng.integers(1, 40))
+        values, there = rng.normal(0.0, 2.0, n), rng.random(n) < 0.6
+        full = np.where(there, values, -0.3)
+        got = maximal_segments(np.flatnonzero(there), values[there], 0.3)
+        want = _best_segments(full.tolist())
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
 
+
+def test_segments_take_linear_time():
+    for pattern in ([1.0, -2.0], [1.0, -0.999], [1.0, -0.5, -0.51], [3.0, -1.0, 1.0, -3.1]):
+        took = []
+        for n in (20_000, 80_000):
+            values = np.resize(np.array(pattern), n)
+            began = time.process_time()
+            maximal_segments(np.arange(n), values, 0.0)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.2, (pattern, took)
+
+
+def test_segments():
     got = maximal_segments(np.array([0, 1, 3, 20, 21]), np.array([4.0, -5.0, 3.0, 2.0, 2.0]), 0.5)
     assert got == [(0, 1, 4.0), (3, 4, 3.0), (20, 22, 4.0)]
     assert maximal_segments(np.array([0, 2]), np.array([3.0, 3.0]), 0.5) == [(0, 3, 5.5)]
