@@ -178,3 +178,42 @@ def test_anchors_of_all_nodes(spark, tmp_path):
                 break
     assert {w[0] for w in want} == {"r:1", "p:12", "p:4"} and ("p:12", "p:2", 0) in want and ("p:4", "p:2", 1) in want
     assert {tuple(r) for r in catalog.QUERIES["nearest_ancestor_anchor_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_components_against_union_find_and_rounds(spark):
+    import random
+
+    from graphloom.operators.components import components
+
+    def smallest(edges):
+        up = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            if a is not None and b is not None and a != b:
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+        return {x: top(x) for x in up}
+
+    rng = random.Random(7)
+    path, ring = [(i, i + 1) for i in range(40)], [(100 + i, 100 + (i + 1) % 9) for i in range(9)]
+    loose = [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(35)]
+    odd = [(1, 1), (None, 3), (300, None), (5, 4), (5, 4), (400, 350), (400, 360), (360, 355)]
+    edges = path + ring + loose + odd
+    rng.shuffle(edges)
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == smallest(edges)
+    # stars around their smallest nodes need no round; a centre that is not the smallest, and a path, do
+    stars = spark.createDataFrame([(1, 7), (8, 1), (1, 9), (3, 4)], "a long, b long")
+    assert {r.node: r.component for r in components(stars, max_rounds=1).collect()} == {1: 1, 7: 1, 8: 1, 9: 1, 3: 3, 4: 3}
+    for more in ([(5, 6), (6, 7)], [(9, 5), (9, 6)]):
+        try:
+            components(spark.createDataFrame(more, "a long, b long"), max_rounds=1)
+        except RuntimeError:
+            continue
+        raise AssertionError(more)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
