@@ -236,3 +236,11 @@ def test_an_index_is_made_anew_when_any_table_changes(spark, tmp_path):
     assert ask() == 1 and ask() == 1
     spark.range(5).write.mode("append").parquet(f"{tmp_path}/b.parquet")  # a new file in a folder
     assert ask() == 2 and ask() == 2
+
+
+def test_equal_parts_tie_whatever_order_they_come_in(spark):
+    parts = [(q, p) for q, p in enumerate((0.1, 0.2, 0.3))]
+    rows = [("a", *x) for x in parts] + [("b", *x) for x in reversed(parts)] + [("c", *parts[i]) for i in (1, 2, 0)]
+    found = {r.id: r for r in fts.summed(spark.createDataFrame(rows, "id string, q int, part double").coalesce(1), "id").collect()}
+    assert {r.score for r in found.values()} == {0.1 + 0.2 + 0.3}
+    assert all(r.qs == [0, 1, 2] for r in found.values())
