@@ -63,7 +63,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     keys = ["shorter", "side", "part", "band", "bits"]
     a = keyed.where("size = shorter").withColumnsRenamed({"word": "a", "n": "n_a", "mask": "mask_a"}).drop("size")
     b = keyed.withColumnsRenamed({"word": "b", "n": "n_b", "mask": "mask_b", "size": "size_b"})
-    met = a.join(b, keys).where("(size_b > shorter OR a < b) AND bit_count(mask_a ^ mask_b) <= 2")
+    # every word has twelve keys, which Spark's estimate of a side leaves out: it would send all of them through the driver
+    met = a.join(b.hint("merge"), keys).where("(size_b > shorter OR a < b) AND bit_count(mask_a ^ mask_b) <= 2")
     # the first band and half at which they meet; at the others the pair has been seen
     first_band = F.expr(" AND ".join(f"(band <= {i} OR (mask_a & {m}L) <> (mask_b & {m}L))" for i, m in enumerate(BAND_MASKS[:-1])))
     first_half = F.expr("side = 0 OR left(a, shorter div 2) <> left(b, shorter div 2)")

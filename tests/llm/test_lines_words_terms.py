@@ -245,3 +245,12 @@ def test_divergence_edges(spark):
     for count, total, kept in [(0, 1, 1), (9_223_372_035, 10**15, 7), (9_223_372_030, 10**10, 3), (10**17, 10**18, 10**9)]:
         got = spark.sql(f"SELECT {count}L AS c, {total}L AS t, {kept}L AS v").select(share("c", "t", "v")).first()[0]
         assert got == 1 + 10**9 * (count + 5) // (total + 5 * kept)
+
+
+def test_keys_of_words_are_not_broadcast(spark):
+    from graphloom.llm import spelling
+
+    words = spark.createDataFrame([("kettle", 50), ("kettl", 5), ("kettles", 7)], "word string, n long")
+    pairs = spelling.near_pairs(words)
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b) for r in pairs.collect()} == {("kettl", "kettle"), ("kettle", "kettles")}
