@@ -507,3 +507,28 @@ def test_similar_names_and_analyses(spark):
     caps = spark.createDataFrame([(0, "Auth login", "users sign in", ["Login", "token"], ["a.py", "b.py"]), (1, "Search", "find users", ["query"], ["b.py", "c.py"]), (2, "None", "", None, ["z.py"])], "place int, name string, description string, keywords array<string>, files array<string>")
     assert [(r.name, r.score) for r in T.matching_capabilities(caps, "How do users login?").collect()] == [("Auth login", 6), ("Search", 1)]
     assert [r.file for r in T.files_for(caps, "How do users login?").collect()] == ["a.py", "b.py", "c.py"]
+
+
+def test_copies_of_vectors_rank_by_id(spark):
+    """Equal vectors are at distance 0 and tie, whatever place they are read at."""
+    from graphloom.operators import orphans as O
+
+    rows = [(f"v{i:02}", [0.1, 0.7, 1000.3]) for i in reversed(range(20))] + [("w", [0.1, 0.7, 1000.3000001])]
+    v = spark.createDataFrame(rows, "node_id string, embedding array<double>").coalesce(1)
+    found = O.nearest_vectors(v.where("node_id = 'v07'").withColumnRenamed("node_id", "orphan"), v, 3).orderBy("rank").collect()
+    assert [(r.node_id, r.distance) for r in found] == [("v00", 0.0), ("v01", 0.0), ("v02", 0.0)]
+
+
+def test_a_name_is_looked_for_once_however_many_orphans_have_it(spark):
+    from graphloom.operators import fts
+    from graphloom.operators import orphans as O
+
+    texts = [("a", "red bolt"), ("b", "bolt red bolt"), ("c", "red red bolt"), ("d", "blue")]
+    index = fts.build(spark.createDataFrame(texts, "node_id string, text string"), "node_id", {"text": F.col("text")})
+    names = spark.createDataFrame([(f"o{i}", "Red Bolt") for i in range(50)] + [("x", "red red"), ("y", "none red"), ("z", None)], "orphan string, query string")
+    hits = O.name_hits(index, names, 2)
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r.orphan, []).append((r["rank"], r.node_id, r.df))
+    assert set(got) == {*(f"o{i}" for i in range(50)), "x"}
+    assert all(sorted(got[f"o{i}"]) == [(1, "a", 3), (2, "b", 3)] for i in range(50)) and got["x"] == [(1, "c", 1)]
