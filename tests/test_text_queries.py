@@ -244,3 +244,11 @@ def test_equal_parts_tie_whatever_order_they_come_in(spark):
     found = {r.id: r for r in fts.summed(spark.createDataFrame(rows, "id string, q int, part double").coalesce(1), "id").collect()}
     assert {r.score for r in found.values()} == {0.1 + 0.2 + 0.3}
     assert all(r.qs == [0, 1, 2] for r in found.values())
+
+
+def test_packed_postings_keep_places_and_lengths(spark):
+    rows = [(1, "red bolt red", "red"), (2, "", ""), (3, None, "bolt Red bolt")]
+    index = fts.build(spark.createDataFrame(rows, "id long, name string, body string"), "id", {c: F.col(c) for c in ("name", "body")})
+    got = {(r.term, r.id, r.col): list(r.positions) for r in index.postings.collect()}
+    assert got == {("red", 1, "name"): [0, 2], ("bolt", 1, "name"): [1], ("red", 1, "body"): [0], ("bolt", 3, "body"): [0, 2], ("red", 3, "body"): [1]}
+    assert {r.id: r.dl for r in index.lengths.collect()} == {1: 4, 2: 0, 3: 3}
