@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,18 @@ RECALL = 0.95
 #: Vectors a list has on average, until there are MOST_LISTS of them.
 PER_LIST, MOST_LISTS = 2_000, 4_096
 MEASURE_K = 10
+#: Vectors of a list and queries that meet in one group, and distances that a task holds at once.
+VECTORS_AT_ONCE, QUERIES_AT_ONCE, CELLS_AT_ONCE = 16_384, 4_096, 4_000_000
+
+
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length as rows."""
+    if not len(column):
+        return np.zeros((0, 1))
+    lengths = pc.unique(pc.list_value_length(column))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of lengths {sorted(lengths.to_pylist())}")
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,6 +78,27 @@ def measured_probes(sample: np.ndarray, centres: np.ndarray, recall: float = REC
     return int(found[min(len(found) - 1, math.ceil(recall * len(found)) - 1)]) + 1
 
 
+def nearest(wanted: np.ndarray, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``wanted``, places in ``held`` and distances of the ``k`` nearest to each row, the first places of equals.
+
+    A product of matrices only narrows: what it leaves is measured by differences, so that equal vectors tie."""
+    k, size, found = min(k, len(held)), (held * held).sum(1), []
+    step = max(1, CELLS_AT_ONCE // max(1, len(held)))
+    for start in range(0, len(wanted), step):
+        own = wanted[start : start + step]
+        norm = (own * own).sum(1)
+        d = norm[:, None] - 2 * own @ held.T + size[None]
+        # above what rounding of the product can change
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-9 * (norm + size.max())
+        row, at = np.nonzero(~(d > limit[:, None]))
+        exact = np.sqrt(((own[row] - held[at]) ** 2).sum(1))
+        order = np.lexsort((at, exact, row))
+        row, at, exact = row[order], at[order], exact[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((row[first] + start, at[first], exact[first]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 @dataclass
 class VectorIndex:
     """``folder`` holds lists/list=N, and deleted ids; ids are strings."""
@@ -104,7 +138,7 @@ class VectorIndex:
             for batch in batches:
                 for i in range(0, len(batch), 1_024):
                     part = batch.slice(i, 1_024)
-                    vectors = np.array(part.column("embedding").to_pylist(), float)
+                    vectors = _matrix(part.column("embedding"))
                     d = _distances(vectors, centres)
                     near = d.argmin(1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]
                     yield pa.RecordBatch.from_arrays([part.column("id"), part.column("embedding"), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "embedding", "lists"])
@@ -140,8 +174,23 @@ class VectorIndex:
         """
         n = min(len(self.centres), probes or self.probes)
         asked = self._listed(queries, n).select(F.col("id").alias("query"), F.col("embedding").alias("q"), F.explode("lists").alias("list"))
-        met = self.vectors().join(asked, "list")
-        distance = F.sqrt(F.expr("aggregate(zip_with(embedding, q, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)"))
-        near = met.select("query", "id", distance.alias("distance"))
+        held = self.vectors().join(asked.select("list").distinct(), "list", "left_semi")
+        # blocks of a list's vectors meet blocks of its queries: what a group holds does not grow with the tables
+        most = held.groupBy("list").count().agg(F.max("count")).first()[0] or 1
+        of_list, of_queries = max(1, -(-most // VECTORS_AT_ONCE)), max(1, -(-queries.count() // QUERIES_AT_ONCE))
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        by = ("list", "vectors", "queries")
+        left = held.select("list", "id", "embedding", block("id", of_list).alias("vectors"), every(of_queries).alias("queries"))
+        right = asked.select("list", "query", "q", block("query", of_queries).alias("queries"), every(of_list).alias("vectors"))
+
+        def run(mine: pa.Table, wanted: pa.Table) -> pa.Table:
+            if not mine.num_rows or not wanted.num_rows:
+                return pa.table({"query": pa.array([], pa.string()), "id": pa.array([], pa.string()), "distance": pa.array([], pa.float64())})
+            mine = mine.sort_by("id")
+            row, at, distance = nearest(_matrix(wanted.column("q")), _matrix(mine.column("embedding")), k)
+            return pa.table({"query": wanted.column("query").take(pa.array(row)), "id": mine.column("id").take(pa.array(at)), "distance": distance})
+
+        near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query string, id string, distance double")
         place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
         return near.withColumn("rank", place).where(F.col("rank") <= k)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import sections as C
 from graphloom.operators import tree as T
+from graphloom.operators import vector_index
 from graphloom.operators.vector_index import VectorIndex, fitted, measured_probes
 from graphloom.sources import docstore
 from graphloom.sources.discovery import FolderReader, FolderSource
@@ -183,6 +184,24 @@ def test_vector_lists_at_the_edges(spark, tmp_path):
     assert none.vectors().count() == 0
 
 
+def test_lists_meet_queries_in_blocks(spark, tmp_path, monkeypatch):
+    """No row is made of a query and a vector: small blocks give what one block gives, and the plan joins no such pairs."""
+    rows = _vectors(600, 8, 4) + [(f"w{i}", [1.0] * 8) for i in range(30)]
+    frame = spark.createDataFrame(rows, "id string, embedding array<double>")
+    index = VectorIndex.build(frame, f"file://{tmp_path}/v", lists=3)
+    asked = frame.where("id LIKE '%7'")
+    whole = sorted(map(tuple, index.search(asked, 9, 3).collect()))
+    monkeypatch.setattr(vector_index, "VECTORS_AT_ONCE", 50)
+    monkeypatch.setattr(vector_index, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr(vector_index, "CELLS_AT_ONCE", 100)
+    search = index.search(asked, 9, 3)
+    assert sorted(map(tuple, search.collect())) == whole and len(whole) == 9 * asked.count()
+    assert "CoGroupsInArrow" in search._jdf.queryExecution().executedPlan().toString()
+    known = {q: np.array(v) for q, v in rows}
+    want = {q: sorted((np.sqrt(((known[q] - v) ** 2).sum()), i) for i, v in known.items())[:9] for q in [r.id for r in asked.collect()]}
+    assert [(q, i) for q, i, _, r in sorted(whole, key=lambda x: (x[0], x[3]))] == [(q, i) for q in sorted(want) for _, i in want[q]]
+
+
 def test_lists_to_read_are_measured():
     sample = np.array([r[1] for r in _vectors(1_000, 8, 3)])
     centres = fitted(sample, 20)
