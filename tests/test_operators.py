@@ -1,5 +1,6 @@
 import ast
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -217,3 +218,16 @@ def test_components_against_union_find_and_rounds(spark):
             continue
         raise AssertionError(more)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_overlaps_count_no_rows_of_two_pages_and_a_symbol(spark, monkeypatch):
+    """A symbol of more pages than a list holds pairs them all; pairs are counted from lists, with no aggregation by pair."""
+    rng = random.Random(8)
+    pages = {g: {0} | {rng.randrange(1, 6) for _ in range(rng.randrange(4))} for g in range(40)}
+    want = {(a, b, len(pages[a] & pages[b])) for a, b in itertools.combinations(pages, 2) if 2 * len(pages[a] & pages[b]) > min(len(pages[a]), len(pages[b]))}
+    monkeypatch.setattr(X, "PAGES_AT_ONCE", 7)
+    for name, kind in ((int, "long"), ("p{:02d}".format, "string")):
+        found = X.overlaps(spark.createDataFrame([(name(g), x) for g, xs in pages.items() for x in xs], f"g {kind}, x long"))
+        assert {tuple(r) for r in found.collect()} == {(name(a), name(b), n) for a, b, n in want}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "HashAggregate" not in plan
