@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.graph import spread
 from graphloom.sources.session import table
 
 _KINDS = [("region", "r", "r_regionkey", "r_name"), ("nation", "n", "n_nationkey", "n_name"), ("customer", "c", "c_custkey", "c_name"), ("supplier", "s", "s_suppkey", "s_name"), ("part", "p", "p_partkey", "p_name"), ("orders", "o", "o_orderkey", None)]
@@ -25,13 +26,15 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     """source_id, target_id, rel_type: a bag of typed edges."""
     link = lambda df, a, x, b, y, rel: df.select(F.concat(F.lit(f"{a}:"), F.col(x).cast("string")).alias("source_id"), F.concat(F.lit(f"{b}:"), F.col(y).cast("string")).alias("target_id"), F.lit(rel).alias("rel_type"))
     items = table(spark, sf, "lineitem")
+    n = items.count()
+    pairs = lambda a, b: spread(items.select(a, b), a, n).distinct()
     parts = [
         link(table(spark, sf, "nation"), "n", "n_nationkey", "r", "n_regionkey", "contains"),
         link(table(spark, sf, "customer"), "c", "c_custkey", "n", "c_nationkey", "references"),
         link(table(spark, sf, "supplier"), "s", "s_suppkey", "n", "s_nationkey", "references"),
         link(table(spark, sf, "orders"), "o", "o_orderkey", "c", "o_custkey", "calls"),
-        link(items.select("l_orderkey", "l_partkey").distinct(), "o", "l_orderkey", "p", "l_partkey", "composition"),
-        link(items.select("l_partkey", "l_suppkey").distinct(), "p", "l_partkey", "s", "l_suppkey", "composition"),
+        link(pairs("l_orderkey", "l_partkey"), "o", "l_orderkey", "p", "l_partkey", "composition"),
+        link(pairs("l_partkey", "l_suppkey"), "p", "l_partkey", "s", "l_suppkey", "composition"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -231,3 +231,10 @@ def test_overlaps_count_no_rows_of_two_pages_and_a_symbol(spark, monkeypatch):
         assert {tuple(r) for r in found.collect()} == {(name(a), name(b), n) for a, b, n in want}
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroupsInArrow" in plan and "HashAggregate" not in plan
+
+
+def test_edges_are_made_distinct_in_parts_of_bounded_size(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(G, "ROWS_AT_ONCE", 100)
+    parts = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 100)
+    plan = G.degrees(views.nodes(spark, sf_dir), views.edges(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert all(any(key in line and f", {parts}), REPARTITION_BY_NUM" in line for line in plan.splitlines()) for key in ("l_orderkey", "l_partkey"))
