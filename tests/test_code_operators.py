@@ -43,6 +43,20 @@ def random_graph(rng, n, m):
     return names, [(rng.choice(names), rng.choice(names), "calls") for _ in range(m)]
 
 
+def test_pagerank_reads_its_edges_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    names, rows = random_graph(random.Random(4), 30, 50)
+    edges = edges_of(spark, *rows)
+    G.pagerank(spark.createDataFrame([(v,) for v in names], "node_id string"), edges.mapInArrow(seen, edges.schema), 5).collect()
+    assert reads.value == len(rows)
+
+
 def test_weights_by_class(spark):
     e = edges_of(spark, ("a", "t", "calls"), ("b", "t", "calls"), ("c", "t", "calls", "directory"), ("d", "lone", "x", "doc"))
     got = {(r.source_id, r.target_id): r.weight for r in G.edge_weights(e).collect()}
