@@ -546,3 +546,39 @@ def test_a_name_is_looked_for_once_however_many_orphans_have_it(spark):
         got.setdefault(r.orphan, []).append((r["rank"], r.node_id, r.df))
     assert set(got) == {*(f"o{i}" for i in range(50)), "x"}
     assert all(sorted(got[f"o{i}"]) == [(1, "a", 3), (2, "b", 3)] for i in range(50)) and got["x"] == [(1, "c", 1)]
+
+
+def test_members_of_groups_are_linked_without_pairs_of_parents(spark):
+    rng, langs = random.Random(6), ("python", "java", "go")
+    parents = {f"c{i:02d}": rng.randrange(3) for i in range(20)}
+    members = [(f"m{i:02d}", f"x.{rng.choice('ab')}", rng.choice(list(parents)), rng.choice(langs)) for i in range(40)]
+    last = {(p, name[2:]): (m, lang) for m, name, p, lang in members}  # the largest id of a parent's name
+    want = {(a, b) for ((p, x), (a, la)), ((q, y), (b, lb)) in itertools.product(last.items(), last.items()) if p < q and parents[p] == parents[q] and x == y and la != lb}
+    n = nodes_of(spark, *[node(m, name=name, kind="method", parent=p, lang=lang) for m, name, p, lang in members])
+    groups = spark.createDataFrame(list(parents.items()), "node_id string, number int")
+    got = L.member_links_of_groups(n, groups, 0.7).collect()
+    assert {(r.source_id, r.target_id) for r in got} == want and len(got) == len(want) > 5
+    assert {(r.rel_type, round(r.weight, 9)) for r in got} == {("cross_language_L3", 0.42)}
+
+
+def test_settled_names_are_not_asked_on(spark, monkeypatch):
+    """Names found by tiers 1 to 3 are not joined with all nodes of their name; the others still find tier 5."""
+    seen = []
+    monkeypatch.setattr(V, "written", lambda df, name: seen.append({(r.name, r.tier) for r in df.collect()}) or df)
+    n = nodes_of(spark, *[node(f"n{i}", name="same", path=f"src/{i % 2}.py", lang="go" if i == 4 else "python") for i in range(6)])
+    n = n.withColumn("full_name", F.when(F.col("node_id") == "n5", "pkg.other").otherwise(F.col("symbol_name")))
+    n = n.withColumn("symbol_name", F.when(F.col("node_id") == "n5", "late").otherwise(F.col("symbol_name")))
+    asked = spark.createDataFrame([("same", "src/1.py", "python"), ("same", "", "go"), ("late", "", ""), ("other", "", ""), ("none", "", "")], "name string, file string, language string")
+    got = {(r.name, r.lang): (r.node_id, r.tier) for r in V.resolved(asked, n).collect()}
+    assert got == {("same", "python"): ("n1", 1), ("same", "go"): ("n0", 3), ("late", ""): ("n5", 5), ("other", ""): ("n5", 4), ("none", ""): (None, None)}
+    assert seen == [{("same", 1), ("same", 3), ("late", None), ("other", None), ("none", None)}]
+
+
+def test_a_name_is_looked_for_once_however_many_nodes_have_it(spark, monkeypatch):
+    asked = []
+    real = O.name_hits
+    monkeypatch.setattr(O, "name_hits", lambda index, names, *rest: asked.append(names.count()) or real(index, names, *rest))
+    n = nodes_of(spark, *[node(f"c{i}", name="Widget", kind="class") for i in range(4)], *[node(f"d{i}", text="a Widget here" + " and more" * i) for i in range(5)])
+    index = fts.build(n, "node_id", fts.symbol_columns(n))
+    got = {(r.source_id, r.target_id) for r in X.framework_references(n.where("symbol_type = 'class'"), n, index).collect()}
+    assert asked == [1] and got == {(f"c{i}", f"d{j}") for i in range(4) for j in range(3)}
