@@ -582,3 +582,29 @@ def test_a_name_is_looked_for_once_however_many_nodes_have_it(spark, monkeypatch
     index = fts.build(n, "node_id", fts.symbol_columns(n))
     got = {(r.source_id, r.target_id) for r in X.framework_references(n.where("symbol_type = 'class'"), n, index).collect()}
     assert asked == [1] and got == {(f"c{i}", f"d{j}") for i in range(4) for j in range(3)}
+
+
+def test_surfaces_meet_in_slices_and_links_come_once(spark, monkeypatch):
+    """Tiny slices, nodes with several surfaces, members of parents that share one: as by brute force, each link once."""
+    monkeypatch.setattr(L, "PAIRS_AT_ONCE", 8)
+    rng, langs = random.Random(3), ("python", "java", "go")
+    of = {f"c{i:02d}": rng.choice(langs) for i in range(18)}
+    shown = {(c, s): 0.6 + 0.1 * rng.randrange(2) for c in of for s in rng.sample(["x", "y", "z"], rng.randrange(1, 3))}
+    members = {f"m{i:02d}": (rng.choice("ab"), rng.choice(list(of)), rng.choice(langs)) for i in range(40)}
+    n = nodes_of(spark, *[node(c, path="src/a.py", lang=x) for c, x in of.items()], *[node(m, name=x, kind="method", parent=p, lang=lang) for m, (x, p, lang) in members.items()])
+    size = {s: sum(t == s for _, t in shown) for s in "xyz"}
+    want = {}
+    for (a, s), (b, t) in itertools.product(shown, shown):
+        if s == t and a < b and of[a] != of[b]:
+            w = max(0.3, min(0.8, 0.7 * (shown[a, s] + shown[b, t]) / 2 / math.log(1 + size[s])))
+            want[a, b, "cross_language_L1"] = max(w, want.get((a, b, "cross_language_L1"), 0))
+    last = {(p, x): (m, lang) for m, (x, p, lang) in members.items()}
+    for (a, b, _), w in list(want.items()):
+        for x in "ab":
+            if (a, x) in last and (b, x) in last and last[a, x][1] != last[b, x][1]:
+                want[last[a, x][0], last[b, x][0], "cross_language_L3"] = max(0.3, 0.6 * w)
+    surfaces = spark.createDataFrame([(c, "rest", s, h) for (c, s), h in shown.items()], "node_id string, kind string, surface string, hint double")
+    none = spark.createDataFrame([], "source_id string, target_id string, confidence double, score double")
+    got = L.cross_language(n, none, surfaces, none).collect()
+    assert len(got) == len(want) and {k[2] for k in want} == {"cross_language_L1", "cross_language_L3"}
+    assert {(r.source_id, r.target_id, r.rel_type): round(r.weight, 9) for r in got} == {k: round(w, 9) for k, w in want.items()}
