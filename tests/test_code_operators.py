@@ -608,3 +608,37 @@ def test_surfaces_meet_in_slices_and_links_come_once(spark, monkeypatch):
     got = L.cross_language(n, none, surfaces, none).collect()
     assert len(got) == len(want) and {k[2] for k in want} == {"cross_language_L1", "cross_language_L3"}
     assert {(r.source_id, r.target_id, r.rel_type): round(r.weight, 9) for r in got} == {k: round(w, 9) for k, w in want.items()}
+
+
+def test_pages_of_a_section_too_large_for_a_task(spark, monkeypatch):
+    """By rounds, and communities in tasks or by rounds again: every node once, pages within their sizes, groups kept together."""
+    rng, rows, links = random.Random(4), [], []
+    for g in range(3):
+        own = [f"g{g}_{i:02d}" for i in range(20)]
+        rows += [node(v, path=f"src/{g}.py", line=i) for i, v in enumerate(own)]
+        links += [(a, b, "calls") for a, b in itertools.combinations(own, 2) if rng.random() < 0.7]
+    links += [("g0_00", "g1_00", "calls"), ("t0", "t1", "calls"), ("t0", "g2_03", "calls")]
+    rows += [node("t0", path="src/2.py"), node("t1", path="src/2.py"), *[node(f"z{i:02d}", path="src/z.py", line=i) for i in range(25)]]
+    star, clique = [f"s{i:02d}" for i in range(31)], [f"k{i:02d}" for i in range(26)]
+    rows += [node(v, path=f"src/{v[0]}.py", line=i) for vs in (star, clique) for i, v in enumerate(vs)]
+    links += [("s00", v, "calls") for v in star[1:]] + [(a, b, "calls") for a, b in itertools.combinations(clique, 2)]
+    n, e = nodes_of(spark, *rows), edges_of(spark, *links)
+    section = n.select("node_id", F.lit(5).alias("cluster"))
+    tasks = []
+    real = C._split_in_tasks
+    monkeypatch.setattr(C, "_split_in_tasks", lambda *a: tasks.append(1) or real(*a))
+    monkeypatch.setattr(C, "SEQUENTIAL_PAIRS", 100)
+    found = C.pages(n, e, section, least=4, most=22).collect()
+    assert tasks and len(found) == len(rows) and {r.node_id for r in found} == {r[0] for r in rows} and {r.section for r in found} == {5}
+    of = {}
+    for r in found:
+        of.setdefault(r.page, set()).add(r.node_id)
+    assert all(len(p) <= 22 for p in of.values()) and sorted(of) == list(range(len(of)))
+    for g in range(3):
+        assert any({f"g{g}_{i:02d}" for i in range(20)} <= p for p in of.values())
+    page = {r.node_id: r.page for r in found}
+    assert page["t0"] == page["t1"] == page["g2_03"]
+    shares = lambda x: sorted(len([v for v in p if v[0] == x]) for p in of.values() if any(v[0] == x for v in p))
+    assert shares("z") == [3, 22] and sum(shares("s")) == 31
+    pairs = [(a, b, 1.0) for a, b in itertools.combinations(clique, 2)]
+    assert shares("k") == sorted(map(len, C.split(clique, pairs, {v: ("src/k.py", i) for i, v in enumerate(clique)}, 22)))
