@@ -584,6 +584,13 @@ def test_a_name_is_looked_for_once_however_many_nodes_have_it(spark, monkeypatch
     assert asked == [1] and got == {(f"c{i}", f"d{j}") for i in range(4) for j in range(3)}
 
 
+def test_nodes_of_a_name_take_no_place_of_texts_that_refer_to_it(spark):
+    n = nodes_of(spark, *[node(f"c{i:03}", name="Widget", kind="class") for i in range(90)], *[node(f"d{i}", text="a Widget here" + " and more" * i) for i in range(5)])
+    index = fts.build(n, "node_id", fts.symbol_columns(n))
+    got = {(r.source_id, r.target_id) for r in X.framework_references(n.where("symbol_type = 'class'"), n, index).collect()}
+    assert got == {(f"c{i:03}", f"d{j}") for i in range(90) for j in range(3)}
+
+
 def test_surfaces_meet_in_slices_and_links_come_once(spark, monkeypatch):
     """Tiny slices, nodes with several surfaces, members of parents that share one: as by brute force, each link once."""
     monkeypatch.setattr(L, "PAIRS_AT_ONCE", 8)
