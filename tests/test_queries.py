@@ -35,3 +35,14 @@ def test_matches_sql(name, spark, sf_dir, duck):
     got, want = catalog.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(catalog.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
+
+
+def test_orphan_tiers_has_orphans_of_all_types(spark, sf_dir):
+    from graphloom.operators import graph as G
+    from graphloom.plans.code_view import code_edges, code_nodes
+
+    sparse = code_edges(spark, sf_dir).where("rel_type = 'creates' AND edge_class = 'lexical'")
+    lost = {r.node_id: r.symbol_type for r in G.orphans(code_nodes(spark, sf_dir), sparse).collect()}
+    got = {r.orphan: r.widest for r in catalog.QUERIES["orphan_tiers"](spark, sf_dir).collect()}
+    assert set(got) == set(lost) and {"function", "method", "macro", "markdown_document"} <= set(lost.values())
+    assert all(w <= {"method": 2, "function": 3}.get(lost[n], 4) for n, w in got.items()) and {got[n] for n, t in lost.items() if t == "method"} == {2}
