@@ -649,3 +649,30 @@ def test_pages_of_a_section_too_large_for_a_task(spark, monkeypatch):
     assert shares("z") == [3, 22] and sum(shares("s")) == 31
     pairs = [(a, b, 1.0) for a, b in itertools.combinations(clique, 2)]
     assert shares("k") == sorted(map(len, C.split(clique, pairs, {v: ("src/k.py", i) for i, v in enumerate(clique)}, 22)))
+
+
+def test_sections_of_a_large_file_graph_need_no_rounds(spark, monkeypatch):
+    """Two dense groups of files and a lone file; beyond the size for names the graph goes by numbers, in one task."""
+    monkeypatch.setattr(C, "SEQUENTIAL_PAIRS", 1)
+    monkeypatch.setattr(C, "leiden", lambda *a: pytest.fail("rounds"))
+    files = [f"{d}/{i}.py" for d in ("src/b", "src/a") for i in range(6)]
+    n = nodes_of(spark, *[node(p, path=p) for p in files], node("lone", path="src/a/lone.py"))
+    e = edges_of(spark, *[(a, b, "calls") for a, b in itertools.permutations(files, 2) if a[:5] == b[:5]], (files[0], files[6], "calls"))
+    got = {r.node_id: r.cluster for r in C.sections(n, e).collect()}
+    assert got == {**{p: 0 if p.startswith("src/a") else 1 for p in files}, "lone": 0}
+
+
+def test_communities_of_a_section_are_split_in_tasks_of_their_own(spark, monkeypatch):
+    """The pages are those of the sequential form."""
+    asked, real = [], C._split_in_tasks
+    monkeypatch.setattr(C, "_split_in_tasks", lambda rows, *a: asked.append(rows.select("section", "group").distinct().count()) or real(rows, *a))
+    rng = random.Random(8)
+    names = [f"v{i:03}" for i in range(150)]
+    pairs = sorted({tuple(sorted(rng.sample(names[k : k + 50], 2))) for k in (0, 50, 100) for _ in range(150)})
+    n, e = nodes_of(spark, *[node(v, path=f"src/{i % 3}.py", line=i) for i, v in enumerate(names)]), edges_of(spark, *[(a, b, "calls") for a, b in pairs])
+    got = {r.node_id: r.page for r in C.pages(n, e, n.select("node_id", F.lit(2).alias("cluster")), least=4, most=10).collect()}
+    links, clusters = [(a, b, 1.0) for a, b in pairs], {}
+    found = X.louvain(iter(links))
+    for v in names:
+        clusters.setdefault(found.get(v, -1), []).append(v)
+    assert got == C.sized(clusters, links, {v: (f"src/{i % 3}.py", i) for i, v in enumerate(names)}, 4, 10) and len(asked) == 1 and asked[0] > 2
