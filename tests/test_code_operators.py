@@ -676,3 +676,26 @@ def test_communities_of_a_section_are_split_in_tasks_of_their_own(spark, monkeyp
     for v in names:
         clusters.setdefault(found.get(v, -1), []).append(v)
     assert got == C.sized(clusters, links, {v: (f"src/{i % 3}.py", i) for i, v in enumerate(names)}, 4, 10) and len(asked) == 1 and asked[0] > 2
+
+
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_stemmed_postings_are_written_once_and_only_changed_stems_are_looked_up(spark, monkeypatch, broadcast):
+    seen, real = [], fts.written
+    monkeypatch.setattr(fts, "BROADCAST_STEMS", broadcast, raising=False)
+    monkeypatch.setattr(fts, "written", lambda df, name: seen.append((name, df.count())) or real(df, name))
+    rows = spark.createDataFrame([("a", "run runs bolt running"), ("b", "bolts bolt run"), ("c", None)], "node_id string, text string")
+    index = fts.build(rows, "node_id", {"text": F.col("text")}, stemmed=True)
+    got = {(r.term, r.node_id): r.positions for r in index.postings.collect()}
+    assert got == {("run", "a"): [0, 1, 3], ("bolt", "a"): [2], ("bolt", "b"): [0, 1], ("run", "b"): [2]}
+    assert [x for x in seen if x[0] in ("terms", "stems", "postings")] == [("terms", 10), ("stems", 3), ("postings", 4)]
+
+
+def test_vectors_are_searched_for_orphans_with_a_hit_of_the_text_alone(spark, monkeypatch):
+    """Only hits of both lists reach the threshold, so the others need no search."""
+    asked, real = [], O.nearest_vectors
+    monkeypatch.setattr(O, "nearest_vectors", lambda q, *a: asked.extend(r.orphan for r in q.collect()) or real(q, *a))
+    n = nodes_of(spark, node("a", name="Widget", path="src/x/a.py"), node("b", name="other", path="src/x/b.py", text="a Widget"), node("c", name="lone", path="src/y/c.py"), node("d", name="far", path="src/y/d.py"))
+    index = fts.build(n, "node_id", fts.symbol_columns(n))
+    v = spark.createDataFrame([(x, [float(i), 0.0]) for i, x in enumerate("abcd")], "node_id string, embedding array<double>")
+    got = [(r.source_id, r.target_id, round(r.score, 9)) for r in O.hybrid(n, n, index, v).collect()]
+    assert asked == ["a"] and got == [("a", "b", round(2 / 61, 9))]
